@@ -27,14 +27,14 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-@F.pandas_udf("long")
-def _n_words(text: pd.Series) -> pd.Series:
-    return text.map(lambda b: 0 if b is None else len(bytes(b).split()))
-
-
 def word_count(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` runs; 0 for null."""
-    return _n_words(text.cast("binary"))
+
+    @F.pandas_udf("long")
+    def n_words(text: pd.Series) -> pd.Series:
+        return text.map(lambda b: 0 if b is None else len(bytes(b).split()))
+
+    return n_words(text.cast("binary"))
 
 
 def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> list[tuple]:
