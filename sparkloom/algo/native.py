@@ -276,9 +276,10 @@ def shortest(n, e, source: int, weight: str | None = None, directed=True, negati
 def transitive_closure(n, e, directed=True):
     """source, target: reachable pairs of positive length, semi-naive."""
     a = cut((e if directed else both(e)).select("src", "dst").distinct())
-    seen = front = a.select(F.col("src").alias("source"), F.col("dst").alias("target"))
+    seen = front = cut(a.select(F.col("src").alias("source"), F.col("dst").alias("target")))
     while front.limit(1).count():
-        front = cut(front.join(a, front.target == a.src).select("source", F.col("dst").alias("target")).distinct().join(seen, ["source", "target"], "left_anti"))
+        step = front.join(a.withColumnRenamed("dst", "_far"), F.col("target") == F.col("src"))
+        front = cut(step.select("source", F.col("_far").alias("target")).distinct().join(seen, ["source", "target"], "left_anti"))
         seen = cut(seen.unionByName(front))
     return seen
 
