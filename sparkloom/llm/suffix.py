@@ -7,8 +7,8 @@ and within each k-gram the suffixes from the anchor on and the reversed prefixes
 that compares suffixes in logarithmic time: prefix polynomial hashes and binary search give the common extension of
 two suffixes. Neighbours' common extensions are then verified on the bytes; a collision makes the chunk be sorted by
 bytes. Classes of the two orders give, for each anchor, the first and last start of a repeated string around it; what
-those cover is removed. Copies of whole texts take part once. A k-gram with more than ``max_group`` different contexts is solved
-by counting the digests of its strings, a row each, spread over all tasks, so no group has to fit a task.
+those cover is removed. Copies of whole texts take part once. A k-gram with more than ``max_group`` different contexts is split
+by the longer strings that its members have around the anchor, as often as needed, so no group outgrows a task.
 
 Defined results: null text counts as empty; nothing is removed from texts shorter than ``length`` bytes; repeated rows are copies of
 each other; strings never cross documents. Other columns pass through ``drop_repeats`` unchanged.
@@ -184,7 +184,7 @@ def _cut(text: bytes, spans) -> tuple[bytes, int, int]:
     return b"".join([*parts, text[at:]]), removed, runs
 
 
-def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, max_group: int = 20_000, chunk: int = 8_192) -> DataFrame:
+def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, max_group: int = 16_384, chunk: int = 8_192) -> DataFrame:
     """``docs`` with text packed: its other columns, and _n (bytes), _text (packed), _spans (array of _a, _b to remove)."""
     spark = docs.sparkSession
     scratch.small_batches(spark)
@@ -226,40 +226,61 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, max_gr
                     rows.setdefault((rid, m["gram"], hashlib.md5(left.to_bytes(4, "little") + c).digest(), left, len(c) - left), []).append(m["at"])
             yield pd.DataFrame([(*k, v) for k, v in rows.items()], columns=["_rid", "gram", "kind", "before", "after", "at"])
 
-    texts = seen.select("_rid", "_text")
-    found = scratch.table(texts.join(marked, "_rid").mapInPandas(name, "_rid long, gram long, kind binary, before int, after int, at array<int>"), "contexts")
+    found = scratch.table(seen.select("_rid", "_text").join(marked, "_rid").mapInPandas(name, "_rid long, gram long, kind binary, before int, after int, at array<int>"), "contexts")
     kinds = scratch.table(found.groupBy("gram", "kind", "before", "after").agg(F.sum(F.size("at")).alias("n"), F.min(F.struct("_rid", F.col("at")[0].alias("at"))).alias("one")), "kinds")
     crowd = scratch.table(kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "crowds")
-    asked = kinds.join(crowd, "gram").select(F.col("one._rid").alias("_rid"), F.struct(F.col("one.at").alias("at"), "gram", "kind", (F.col("size") > max_group).alias("large")).alias("m")).groupBy("_rid").agg(F.collect_list("m").alias("marks"))
-
-    def fetch(large: bool):
-        def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            unpack = zstandard.ZstdDecompressor()
-            for batch in batches:
-                out = []
-                for packed, marks in zip(batch._text, batch.marks, strict=True):
-                    t = unpack.decompress(packed)
-                    for m in marks:
-                        if m["large"] == large:
-                            left, c = context(t, m["at"])
-                            out += [(m["gram"], m["kind"], left, c)] if not large else [(m["gram"], m["kind"], i, hashlib.md5(i.to_bytes(4, "little") + c[left - i : left - i + length]).digest()) for i in range(max(0, length - len(c) + left), left + 1)]
-                    if len(out) > 10_000:
-                        yield pd.DataFrame(out, columns=["gram", "kind", "before", "context"])
-                        out = []
-                yield pd.DataFrame(out, columns=["gram", "kind", "before", "context"])
-
-        return rows
+    # What a group has in common is its k-gram at first. A large group is split by what its strings share that start within the first, or
+    # the second, half of the places before the anchor: a longer string, so by the longer string itself; and so on.
+    node = kinds.join(crowd, "gram").select(F.col("one._rid").alias("_rid"), F.col("one.at").alias("at"), "gram", F.col("gram").alias("of"), "kind", F.lit(0).alias("a"), F.lit(length - gram).alias("b"), "size")
+    ready, same = node.where(F.col("size") <= max_group), None
+    large = node.where(F.col("size") > max_group)
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            out = []
+            for rid, packed, marks in zip(batch._rid, batch._text, batch.marks, strict=True):
+                t = unpack.decompress(packed)
+                for m in marks:
+                    mid, at = (m["a"] + m["b"]) // 2, m["at"]
+                    for a, b in ((m["a"], mid), (mid + 1, m["b"])):
+                        if a <= at and at - b + length <= len(t):
+                            key = hashlib.md5(a.to_bytes(4, "little") + b.to_bytes(4, "little") + t[at - a : at - b + length]).digest()
+                            out.append((rid, at, int.from_bytes(key[:8], "little", signed=True), m["of"], m["kind"], a, b, key))
+            yield pd.DataFrame(out, columns=["_rid", "at", "gram", "of", "kind", "a", "b", "key"])
+
+    texts = seen.select("_rid", "_text")
+    gather = lambda rows, *names: rows.groupBy("_rid").agg(F.collect_list(F.struct(*names)).alias("marks"))
+    while crowd.where(F.col("size") > max_group).limit(1).count():
+        parted = texts.join(gather(large, "at", "of", "kind", "a", "b"), "_rid").mapInPandas(split, "_rid long, at int, gram long, of long, kind binary, a int, b int, key binary")
+        parted = scratch.table(parted, "parts")
+        crowd = scratch.table(parted.groupBy("of", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "crowds")
+        parted = parted.join(crowd, ["of", "key"])
+        ready = ready.unionByName(parted.where((F.col("size") <= max_group) & (F.col("a") < F.col("b"))).drop("key"))
+        whole = parted.where("a = b").select(F.col("of").alias("gram"), "kind", F.col("a").alias("least"), F.col("a").alias("most"))
+        same = whole if same is None else same.unionByName(whole)
+        large = parted.where((F.col("size") > max_group) & (F.col("a") < F.col("b"))).drop("key")
+        crowd = scratch.table(large.select("size").distinct(), "sizes")
+
+    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            out = []
+            for packed, marks in zip(batch._text, batch.marks, strict=True):
+                t = unpack.decompress(packed)
+                out += [(m["gram"], m["of"], m["kind"], *context(t, m["at"])) for m in marks]
+            yield pd.DataFrame(out, columns=["gram", "of", "kind", "before", "context"])
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def solved(gram, kind, before, context):
+        def solved(gram, of, kind, before, context):
             least, most = repeats(context, before, gram, length, chunk_gram)
             hit = np.flatnonzero(most >= 0)
-            return pd.DataFrame({"gram": gram[hit], "kind": [kind[i] for i in hit], "least": least[hit], "most": most[hit]})
+            return pd.DataFrame({"gram": of[hit], "kind": [kind[i] for i in hit], "least": least[hit], "most": most[hit]})
 
         held = None
         for batch in batches:
-            got = [batch.gram.to_numpy(), batch.kind.tolist(), batch.before.to_numpy().astype(np.int64), batch.context.tolist()]
-            held = got if held is None else [np.concatenate([held[0], got[0]]), held[1] + got[1], np.concatenate([held[2], got[2]]), held[3] + got[3]]
+            got = [batch.gram.to_numpy(), batch.of.to_numpy(), batch.kind.tolist(), batch.before.to_numpy().astype(np.int64), batch.context.tolist()]
+            held = got if held is None else [a + b if isinstance(a, list) else np.concatenate([a, b]) for a, b in zip(held, got, strict=True)]
             while len(held[0]) > chunk:
                 cut = int(np.searchsorted(held[0], held[0][chunk]))  # groups stay whole
                 cut = cut or int(np.searchsorted(held[0], held[0][0], side="right"))
@@ -271,13 +292,10 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, max_gr
             yield solved(*held)
 
     chunk_gram = gram
-    source = texts.join(asked, "_rid")
-    schema = "gram long, kind binary, before int, context binary"
-    near = source.mapInPandas(fetch(False), schema).repartition(parts, "gram").sortWithinPartitions("gram").mapInPandas(solve, "gram long, kind binary, least int, most int")
-    if crowd.where(F.col("size") > max_group).limit(1).count():
-        strings = scratch.table(source.mapInPandas(fetch(True), schema), "strings")
-        again = strings.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        near = near.unionByName(strings.join(again, ["gram", "context"]).groupBy("gram", "kind").agg(F.min("before").alias("least"), F.max("before").alias("most")))
+    schema = "gram long, of long, kind binary, before int, context binary"
+    near = texts.join(gather(ready, "at", "gram", "of", "kind"), "_rid").mapInPandas(fetch, schema).repartition(parts, "gram").sortWithinPartitions("gram")
+    near = near.mapInPandas(solve, "gram long, kind binary, least int, most int")
+    near = near if same is None else near.unionByName(same)
     own = kinds.where("n > 1").select("gram", "kind", F.greatest(F.lit(0), F.lit(length) - F.col("after")).alias("least"), F.col("before").alias("most")).where("least <= most")
     ends = near.unionByName(own).groupBy("gram", "kind").agg(F.min("least").alias("least"), F.max("most").alias("most"))
     spans = found.join(ends, ["gram", "kind"]).select("_rid", F.explode("at").alias("at"), "least", "most")
