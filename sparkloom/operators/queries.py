@@ -65,7 +65,7 @@ def _rank(by: str, directed: bool, digits: int = 6):
 
 
 def _of(verb, by: str, **options):
-    return lambda spark, sf_dir: verb(table_graph(spark, sf_dir), by, "Part", "CO_BUY", **options)
+    return lambda spark, sf_dir: verb(table_graph(spark, sf_dir), by, label="Part", via="CO_BUY", **options)
 
 
 def call_procedure(spark, sf_dir):
