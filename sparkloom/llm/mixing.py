@@ -181,7 +181,8 @@ class Mix:
 
     def taken(self) -> DataFrame:
         """doc_id, source, size, source_size, target, taken: words of each document that the mix takes, repeats counted."""
-        uses = self.slots_table().groupBy("source_id", "block").agg(F.count(F.lit(1)).alias("uses"))
+        # The slots grow with the data, while Spark's estimate of them is that of the shard ids: never broadcast.
+        uses = self.slots_table().groupBy("source_id", "block").agg(F.count(F.lit(1)).alias("uses")).hint("merge")
         placed = self.positions(self.sizes)
         keys = ["doc_id", "source", "size", "source_size", "target"]
         some = self.segments(placed).join(uses, ["source_id", "block"], "left")
@@ -195,7 +196,7 @@ class Mix:
         sized = docs.select("doc_id", "source", F.coalesce(words, F.array().cast("array<string>")).alias("_words")).withColumn("size", F.size("_words").cast("long"))
         cut = self.segments(self.positions(sized)).select("source_id", "block", "at", F.expr("array_join(slice(_words, int(first) + 1, int(words)), ' ')").alias("_part"))
         packed = cut.groupBy("source_id", "block").agg(F.expr("array_join(transform(array_sort(collect_list(struct(at, _part))), x -> x._part), ' ')").alias("words"))
-        return self.slots_table().join(packed, ["source_id", "block"])
+        return self.slots_table().hint("merge").join(packed, ["source_id", "block"])
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
