@@ -2,7 +2,7 @@
 
 The trees are trained from labelled urls, those with a rule, on lexical features: lengths, depth, digit ratio, entropy, parameter
 counts and statistics of the host's suffix. Training takes a bounded sample, the ``max_train`` labelled urls of lowest
-hash; scoring covers every url, in Arrow batches with the small model in the function.
+hash of url and page_id; scoring covers every url, in Arrow batches with the small model in the function.
 
 Defined results: null or a url without ``://`` has empty host and path, no rule, and a verdict by the method; without labels
 of both kinds the method's verdict is the kind there is, else allow. Repeated rows are judged alike; extra columns are ignored.
@@ -124,7 +124,10 @@ def judge(pages: DataFrame, rules=RULES, max_train: int = 20_000) -> DataFrame:
     split = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, ruled = match_rule(F.col("host"), F.col("path"), rules)
     split = split.withColumn("rule", rule).withColumn("ruled", ruled)
-    labelled = split.where("ruled IS NOT NULL").orderBy(F.xxhash64("url"), "url", "page_id").limit(max_train)
+    labelled = split.where("ruled IS NOT NULL")
+    key = F.pmod(F.xxhash64("url", "page_id"), F.lit(1 << 30))
+    share = 1.5 * max_train / max(1, labelled.count())  # a threshold first, so that partitions don't each send a whole sample
+    labelled = labelled.where(key < int((1 << 30) * min(1.0, share)) + 1).orderBy(key, "url", "page_id").limit(max_train)
     scorer = train([tuple(r) for r in labelled.select("url", "host", "path", "ruled").collect()])
 
     @F.pandas_udf("double")
