@@ -30,6 +30,9 @@ from sparkloom.llm.components import components
 GENERATOR = 0b110001110101
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 PAIRS = ((0, 1), (0, 2), (1, 2))
+#: Members of a set that are compared, all up to this number; and standard deviations left to what a sample of more says: a link right at the
+#: threshold is missed some three times in 10^5.
+SAMPLE, SIGMAS = 1024, 4
 
 
 def _remainder(x: np.ndarray) -> np.ndarray:
@@ -88,11 +91,11 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def bucket_links(key: np.ndarray, fp: np.ndarray, radius: int, near: int = 0, buffer: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Links of fingerprints under one key, ``radius`` bits or fewer apart; key is sorted. A spanning forest of them, and with ``near``
-    also every link to the next ``near`` rows of a group. Row pairs are taken lag by lag, so memory follows the rows, not the pairs."""
+def bucket_links(key: np.ndarray, fp: np.ndarray, radius: int, buffer: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the fingerprints under one key that are ``radius`` bits or fewer apart; key is sorted. Row pairs are taken lag
+    by lag, so memory follows the rows, not the pairs."""
     value, place = np.unique(fp, return_inverse=True)
-    label, held, count, out = np.arange(len(value)), [], 0, []
+    label, held, count = np.arange(len(value)), [], 0
     at, lag = np.arange(len(key)), 0
 
     def settle():
@@ -108,10 +111,7 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, radius: int, near: int = 0, bu
         if not len(at):
             break
         a, b = place[at], place[at + lag]
-        link = (popcount(fp[at] ^ fp[at + lag]) <= radius) & (a != b)
-        if lag <= near and link.any():
-            out.append(np.unique(np.stack([np.minimum(a[link], b[link]), np.maximum(a[link], b[link])], 1), axis=0))
-        link &= label[a] != label[b]
+        link = (popcount(fp[at] ^ fp[at + lag]) <= radius) & (label[a] != label[b])
         if link.any():
             held.append((a[link], b[link]))
             count += int(link.sum())
@@ -119,46 +119,140 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, radius: int, near: int = 0, bu
                 settle()
     settle()
     joined = np.flatnonzero(label != np.arange(len(value)))
-    pairs = np.stack([label[joined], joined], 1)
-    if out:
-        pairs = np.unique(np.concatenate([pairs, *out]), axis=0)
-    return value[pairs[:, 0]], value[pairs[:, 1]]
-
-
-def links(fps: DataFrame, radius: int = 4, near: int = 0, chunk: int = 1_000_000) -> DataFrame:
-    """u, v: linked fingerprints, from the distinct ``fps`` (fp long)."""
-    tables = golay_tables()
+    return value[label[joined]], value[joined]
+
+
+def sample(hashes: np.ndarray) -> tuple[int, bytes]:
+    """Level and 32-bit hashes, in order, of a set: all of them at level 0; at level n those below 2^(32 - n), the first n that leaves ``SAMPLE`` or fewer."""
+    h, level = np.unique(hashes.view(np.uint64) >> np.uint64(32)), 0
+    while len(h) > SAMPLE:
+        level += 1
+        h = h[: np.searchsorted(h, 1 << 32 - level)]
+    return level, h.astype(np.uint32).tobytes()
+
+
+def in_common(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of every two sets: products of their incidence matrices, ``width`` members at a time."""
+    member, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    often = np.bincount(column, minlength=len(member)) > 1
+    place = np.cumsum(often) - 1
+    row, column = row[often[column]], place[column[often[column]]]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    by = np.argsort(column, kind="stable")
+    row, column = row[by], column[by]
+    for first in range(0, int(often.sum()), width):
+        i, j = np.searchsorted(column, [first, first + width])
+        part = np.zeros((len(sets), width), np.float32)
+        part[row[i:j], column[i:j] - first] = 1
+        out += part @ part.T
+    return out
+
+
+def forest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those of the links a[i], b[i] that join the components of ``label`` without a cycle, and the labels then."""
+    us, vs = [a[:0]], [b[:0]]
+    while True:
+        x, y = label[a], label[b]
+        open_ = x != y
+        if not open_.any():
+            return label, np.concatenate(us), np.concatenate(vs)
+        a, b = a[open_], b[open_]
+        first = np.unique(np.maximum(x, y)[open_], return_index=True)[1]
+        us.append(a[first])
+        vs.append(b[first])
+        label = merge(label, a[first], b[first])
+
+
+def class_links(fp: np.ndarray, group: np.ndarray, level: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places, block by block, of rows of different classes that are ``radius`` bits or fewer apart and have ``similarity``: a spanning forest of those
+    that surely have it by their sets, and all others that have it by samples, less ``SIGMAS`` standard deviations, or but for a collision of hashes."""
+    n = len(fp)
+    _, first, of = np.unique(group, return_index=True, return_inverse=True)
+    label = first[of]
+    count = np.array([len(x) for x in sets])
+    next_ = np.array([np.searchsorted(x, 1 << 31 - lv) for x, lv in zip(sets, level.tolist(), strict=True)])
+    for i in range(0, n, block):
+        for j in range(i, n, block):
+            x = np.arange(i, min(i + block, n))
+            y = x if i == j else np.arange(j, min(j + block, n))
+            fits = (label[x][:, None] != label[y][None]) & (np.bitwise_count(fp[x][:, None] ^ fp[y][None]) <= radius) & (x[:, None] < y[None]) & (np.abs(level[x][:, None] - level[y][None]) <= 1)
+            a, b = np.nonzero(fits)
+            if not len(a):
+                continue
+            both = x if i == j else np.concatenate([x, y])
+            a, b, common = x[a], y[b], in_common([sets[k] for k in both])[a, b if i == j else b + len(x)]
+            of_a, of_b = np.where(level[a] < level[b], next_[a], count[a]), np.where(level[b] < level[a], next_[b], count[b])
+            all_ = of_a + of_b - common
+            sampled = (level[a] > 0) | (level[b] > 0)
+            sure = ~sampled & (common - 2 >= similarity * all_)
+            fits = ~sure & (common + 2 >= similarity * all_ - np.where(sampled, SIGMAS * np.sqrt(similarity * (1 - similarity) * all_), 0))
+            label, u, v = forest(label, a[sure], b[sure])
+            fits &= label[a] != label[b]
+            if len(u) or fits.any():
+                yield np.concatenate([u, a[fits]]), np.concatenate([v, b[fits]])
+
+
+def whole_keys(batches: Iterator[pd.DataFrame], chunk: int) -> Iterator[pd.DataFrame]:
+    """Batches sorted by key, put together to some ``chunk`` rows with no key cut apart."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= chunk:
+            rows = pd.concat(held, ignore_index=True)
+            key = rows.key.to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
+            if cut:
+                yield rows[:cut]
+            held, n = [rows[cut:]], len(rows) - cut
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
+def by_key(rows: DataFrame) -> DataFrame:
+    """``rows`` (with fp long) under each of their keys, sorted by key and fp within partitions of whole keys."""
+    tables, kinds = golay_tables(), ", ".join(f"{n} {t}" for n, t in rows.dtypes)
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fp = batch.fp.to_numpy()
-            for at in range(0, len(fp), 2000):
-                part = fp[at : at + 2000]
-                where, key = keys(part.view(np.uint64), tables)
-                yield pd.DataFrame({"key": key, "fp": part[where]})
+            for at in range(0, len(batch), 2000):
+                part = batch[at : at + 2000]
+                where, key = keys(part.fp.to_numpy().view(np.uint64), tables)
+                yield part.iloc[where].assign(key=key)
+
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return rows.mapInPandas(spread, f"{kinds}, key int").repartition(parts, "key").sortWithinPartitions("key", "fp")
+
+
+def links(fps: DataFrame, radius: int = 4, chunk: int = 1_000_000) -> DataFrame:
+    """u, v: a spanning forest, key by key, of linked fingerprints, from the distinct ``fps`` (fp long)."""
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def solved(key, fp):
-            u, v = bucket_links(key, fp.view(np.uint64), radius, near)
-            return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
+        for rows in whole_keys(batches, chunk):
+            u, v = bucket_links(rows.key.to_numpy(), rows.fp.to_numpy().view(np.uint64), radius)
+            yield pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-        held, n = [], 0
-        for batch in batches:
-            held.append((batch.key.to_numpy(), batch.fp.to_numpy()))
-            n += len(batch)
-            if n >= chunk:
-                key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-                cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
-                if cut:
-                    yield solved(key[:cut], fp[:cut])
-                held, n = [(key[cut:], fp[cut:])], len(key) - cut
-        if n:
-            yield solved(*(np.concatenate(x) for x in zip(*held, strict=True)))
-
-    spark = fps.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    spread_rows = fps.mapInPandas(spread, "key int, fp long").repartition(parts, "key").sortWithinPartitions("key", "fp")
-    return spread_rows.mapInPandas(join, "u long, v long")
+    return by_key(fps.select("fp")).mapInPandas(join, "u long, v long")
+
+
+def links_between(texts: DataFrame, radius: int, similarity: float, chunk: int = 50_000) -> DataFrame:
+    """tu, tv: links that join the same ``texts`` (tid, fp, root; level and sample of their shingles) as all links between different roots under a
+    shared key, ``radius`` bits or fewer apart and of ``similarity``; some may fall short of it."""
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in whole_keys(batches, chunk):
+            key, fp, level = rows.key.to_numpy(), rows.fp.to_numpy().view(np.uint64), rows.level.to_numpy()
+            tid, group = rows.tid.to_numpy(), pd.factorize(rows.root)[0]
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            end = np.append(start[1:], len(key))
+            for k in np.flatnonzero(np.minimum.reduceat(group, start) != np.maximum.reduceat(group, start)):
+                at = slice(start[k], end[k])
+                for a, b in class_links(fp[at], group[at], level[at], [np.frombuffer(x, np.uint32) for x in rows["sample"][at]], radius, similarity):
+                    u, v = tid[at][a], tid[at][b]
+                    yield pd.DataFrame({"tu": np.where(u < v, u, v), "tv": np.where(u < v, v, u)})
+
+    return by_key(texts.select("tid", "fp", "root", "level", "sample")).mapInPandas(join, "tu string, tv string").distinct()
 
 
 def simhash(hashes: np.ndarray) -> int:
@@ -211,12 +305,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     return marks.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 10, near: int = 16) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 10) -> DataFrame:
     """Keep one document, that of the smallest doc_id, of each group of near-duplicates.
 
     Copies are linked where the Jaccard similarity of their distinct ``shingle``-word shingles is ``similarity`` or more. Candidates are texts whose
     fingerprints over distinct words, which edits move far less than those over shingles, share a Golay key and differ in
-    ``radius`` bits or fewer; every candidate link is then verified on the shingles.
+    ``radius`` bits or fewer; links are verified on the shingles. At first a spanning forest of the candidates is verified. Where that
+    leaves parts of what the forest connects apart, every candidate between different parts is compared by their shingles, or samples of them where there
+    are over ``SAMPLE``, and verified if these allow the similarity; pairs within a part are never made.
     """
     spark = docs.sparkSession
     scratch.small_batches(spark)
@@ -235,6 +331,10 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     def shingles(text: pd.Series) -> pd.Series:
         return pd.Series([np.unique(shingle_hashes(words_of(t), shingle)).view(np.int64) for t in text])
 
+    @F.pandas_udf("struct<level: int, sample: binary>")
+    def sampled(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([sample(np.asarray(x, np.int64)) for x in s], columns=["level", "sample"])
+
     @F.pandas_udf("string")
     def text_id(text: pd.Series) -> pd.Series:
         return pd.Series([hashlib.md5(b" ".join(words_of(t))).hexdigest() for t in text])
@@ -243,7 +343,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     marks = scratch.table(slim.mapInPandas(mark, "doc_id string, tid string, fp long").withColumn("doc_id", F.col("doc_id").cast("long")), "marks")
     texts = scratch.table(marks.groupBy("tid").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")), "texts")
     by_fp = scratch.table(texts.groupBy("fp").agg(F.min("tid").alias("tid")), "by_fp")
-    pairs = links(by_fp.select("fp"), radius, near).distinct()
+    pairs = links(by_fp.select("fp"), radius).distinct()
     ends = [by_fp.select(F.col("fp").alias(x), F.col("tid").alias(f"t{x}")) for x in "uv"]
     pairs = pairs.join(ends[0], "u").join(ends[1], "v").select("tu", "tv")
     same = texts.join(by_fp.withColumnRenamed("tid", "tv"), "fp").where("tid <> tv").select(F.col("tid").alias("tu"), "tv")
@@ -251,11 +351,29 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     wanted = pairs.select(F.explode(F.array("tu", "tv")).alias("tid")).distinct()
     sets = docs.select(F.col("text").cast("binary").alias("text")).withColumn("tid", text_id("text")).join(wanted, "tid", "left_semi")
     sets = scratch.table(sets.dropDuplicates(["tid"]).select("tid", shingles("text").alias("s")), "sets")
-    both = pairs.join(sets.select(F.col("tid").alias("tu"), F.col("s").alias("a")), "tu").join(sets.select(F.col("tid").alias("tv"), F.col("s").alias("b")), "tv")
-    common = F.size(F.array_intersect("a", "b"))
-    linked = both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select(F.col("tu").alias("u"), F.col("tv").alias("v"))
-    roots = components(linked)
-    placed = texts.join(roots, texts.tid == roots.node, "left").withColumn("root", F.coalesce("root", "tid"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("tid").alias("tu"), F.col("s").alias("a")), "tu").join(sets.select(F.col("tid").alias("tv"), F.col("s").alias("b")), "tv")
+        common = F.size(F.array_intersect("a", "b"))
+        return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select(F.col("tu").alias("u"), F.col("tv").alias("v"))
+
+    def place(linked: DataFrame) -> DataFrame:
+        roots = components(linked)
+        return texts.join(roots, texts.tid == roots.node, "left").select("tid", "least", "fp", F.coalesce("root", "tid").alias("root"))
+
+    linked = scratch.table(verified(pairs), "linked")
+    placed = scratch.table(place(linked), "placed")
+    forest = components(pairs.select(F.col("tu").alias("u"), F.col("tv").alias("v"))).select(F.col("node").alias("tid"), F.col("root").alias("tree"))
+    trees = placed.join(forest, "tid").select("tid", "fp", "root", "tree")
+    apart = trees.groupBy("tree").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("tree")
+    alone = sets.select("tid", F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("tid").alias("tid")).where("n = 1").groupBy("tid").agg(F.count(F.lit(1)).alias("alone"))
+    # A shingle that no other text has is in no intersection.
+    open_ = trees.join(apart, "tree", "left_semi").join(sets, "tid").join(alone, "tid", "left")
+    open_ = open_.where(F.size("s") - F.coalesce("alone", F.lit(0)) >= similarity * F.size("s")).select("tid", "fp", "root", sampled("s").alias("m"))
+    open_ = scratch.table(open_.select("tid", "fp", "root", "m.*"), "open")
+    if open_.limit(1).count():
+        more = verified(scratch.table(links_between(open_, radius, similarity), "pairs"))
+        placed = place(linked.unionByName(more))
     winners = placed.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "tid")).alias("w")).select("w.least", "w.tid")
     # A text's rows of the winning doc_id; usually one each.
     chosen = marks.join(winners, (marks.tid == winners.tid) & marks.doc_id.eqNullSafe(winners.least), "left_semi").groupBy("doc_id", "tid").agg(F.count(F.lit(1)).alias("n"))

@@ -91,6 +91,35 @@ def test_drop_near_duplicates(docs):
     assert kept.columns == docs.columns and len(ids) == len(set(ids)) and not set(range(24, 31)) & set(ids) and set(range(3, 24)) <= set(ids)
 
 
+def test_near_duplicates_of_a_group_of_edits(spark):
+    """Copies with few edits each, around the threshold to each other: the groups are those of all pairs under a shared key."""
+    rnd = random.Random(8)
+    base = [rnd.choice("abcdefghijklmnop") + str(rnd.randint(0, 40)) for _ in range(110)]
+    texts = []
+    for k in range(260):
+        words = list(base)
+        for i in rnd.sample(range(110), k % 6):
+            words[i] = f"new{rnd.randint(0, 10**6)}"
+        texts.append(" ".join(words))
+    frame = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, extra int")
+    words = [simhash.words_of(t.encode()) for t in texts]
+    sets = [set(simhash.shingle_hashes(w, 5).tolist()) for w in words]
+    fps = np.array([simhash.simhash(np.array([simhash.xxhash.xxh64_intdigest(x, 42) for x in set(w)], np.uint64)) for w in words], np.uint64)
+    where, key = simhash.keys(fps, simhash.golay_tables())
+    keys = [set(key[where == i].tolist()) for i in range(len(texts))]
+    pairs = [(i, j) for i in range(260) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and (fps[i] == fps[j] or (keys[i] & keys[j] and int(np.bitwise_count(fps[i] ^ fps[j])) <= 10))]
+    label = simhash.merge(np.arange(260), np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]))
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(frame).collect()) == sorted(set(label.tolist()))
+
+
+def test_samples():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 300, 150).astype(np.uint32)) for _ in range(20)]
+    assert (simhash.in_common(sets, 64) == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]).all()
+    level, kept = simhash.sample(rng.integers(0, 2**63, 9000, dtype=np.int64))
+    assert level >= 3 and 0 < len(kept) <= 4 * simhash.SAMPLE and simhash.sample(np.empty(0, np.int64)) == (0, b"")
+
+
 def test_decontaminate(spark, docs):
     items = spark.createDataFrame([(1, " ".join(docs.where("doc_id = 9").first().text.split()[10:45])), (2, "nothing like it anywhere at all"), (3, None), (4, "")], "item_id long, text string")
     found = {(r.doc_id, r.item_id, r.start_word) for r in decontaminate.leaks(docs, items).collect()}
