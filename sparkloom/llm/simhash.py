@@ -195,29 +195,30 @@ def class_links(fp: np.ndarray, group: np.ndarray, level: np.ndarray, sets: list
 
 def whole_keys(batches: Iterator[pd.DataFrame], chunk: int) -> Iterator[pd.DataFrame]:
     """Batches sorted by key, put together to some ``chunk`` rows with no key cut apart."""
-    held, n = [], 0
+    held, n, due = [], 0, chunk
     for batch in batches:
         held.append(batch)
         n += len(batch)
-        if n >= chunk:
+        if n >= due:
             rows = pd.concat(held, ignore_index=True)
             key = rows.key.to_numpy()
             cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
             if cut:
                 yield rows[:cut]
             held, n = [rows[cut:]], len(rows) - cut
+            due = max(chunk, 2 * n)
     if n:
         yield pd.concat(held, ignore_index=True)
 
 
-def by_key(rows: DataFrame) -> DataFrame:
-    """``rows`` (with fp long) under each of their keys, sorted by key and fp within partitions of whole keys."""
+def by_key(rows: DataFrame, step: int = 2000) -> DataFrame:
+    """``rows`` (with fp long) under each of their keys, sorted by key and fp within partitions of whole keys; ``step`` rows are spread at once."""
     tables, kinds = golay_tables(), ", ".join(f"{n} {t}" for n, t in rows.dtypes)
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 2000):
-                part = batch[at : at + 2000]
+            for at in range(0, len(batch), step):
+                part = batch[at : at + step]
                 where, key = keys(part.fp.to_numpy().view(np.uint64), tables)
                 yield part.iloc[where].assign(key=key)
 
@@ -236,7 +237,7 @@ def links(fps: DataFrame, radius: int = 4, chunk: int = 1_000_000) -> DataFrame:
     return by_key(fps.select("fp")).mapInPandas(join, "u long, v long")
 
 
-def links_between(texts: DataFrame, radius: int, similarity: float, chunk: int = 50_000) -> DataFrame:
+def links_between(texts: DataFrame, radius: int, similarity: float, chunk: int = 10_000) -> DataFrame:
     """tu, tv: links that join the same ``texts`` (tid, fp, root; level and sample of their shingles) as all links between different roots under a
     shared key, ``radius`` bits or fewer apart and of ``similarity``; some may fall short of it."""
 
@@ -252,7 +253,7 @@ def links_between(texts: DataFrame, radius: int, similarity: float, chunk: int =
                     u, v = tid[at][a], tid[at][b]
                     yield pd.DataFrame({"tu": np.where(u < v, u, v), "tv": np.where(u < v, v, u)})
 
-    return by_key(texts.select("tid", "fp", "root", "level", "sample")).mapInPandas(join, "tu string, tv string").distinct()
+    return by_key(texts.select("tid", "fp", "root", "level", "sample"), step=50).mapInPandas(join, "tu string, tv string").distinct()
 
 
 def simhash(hashes: np.ndarray) -> int:
