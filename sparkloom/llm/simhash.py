@@ -9,6 +9,9 @@ on distinct fingerprints, so exact copies cost one row.
 
 Defined results: null or empty text has no words and fingerprint zero, linked like any other; null doc_ids are ignored in
 the smallest id of a component; repeated rows stay; extra columns are ignored.
+
+The pipeline's ``drop_near_duplicates`` links by the Jaccard similarity of shingles, which fingerprints don't follow closely enough (an added
+passage moves many bits), so its keys are bands of least hashes of the shingles themselves.
 """
 
 from __future__ import annotations
@@ -33,6 +36,11 @@ PAIRS = ((0, 1), (0, 2), (1, 2))
 #: Members of a set that are compared, all up to this number; and standard deviations left to what a sample of more says: a link right at the
 #: threshold is missed some three times in 10^5.
 SAMPLE, SIGMAS = 1024, 4
+#: Keys of a set: ``BANDS``, each of its least hashes in ``ROWS`` orders. Two sets of Jaccard similarity J have none in common with a chance of
+#: (1 - J^ROWS)^BANDS: some 5 in 10^8 at 0.8, less above. The first ``EARLY`` bands give the pairs that are verified at first.
+BANDS, ROWS, EARLY = 32, 4, 4
+TURN = np.random.default_rng(64).integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
+WEIGHT = np.random.default_rng(65).integers(0, 1 << 64, ROWS, np.uint64) | np.uint64(1)
 
 
 def _remainder(x: np.ndarray) -> np.ndarray:
@@ -131,6 +139,20 @@ def sample(hashes: np.ndarray) -> tuple[int, bytes]:
     return level, h.astype(np.uint32).tobytes()
 
 
+def band_keys(hashes: np.ndarray, step: int = 4096) -> np.ndarray:
+    """The keys of a set of 64-bit hashes, band by band; none of an empty set."""
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    x = hashes.view(np.uint64)
+    x = (x ^ x >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(x), step):
+        np.minimum(least, (TURN * x[at : at + step]).min(1), out=least)
+    key = (least.astype(np.uint64).reshape(BANDS, ROWS) * WEIGHT).sum(1, dtype=np.uint64)
+    key ^= key >> np.uint64(29)
+    return (key * WEIGHT[0] + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
 def in_common(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
     """Sizes of the intersections of every two sets: products of their incidence matrices, ``width`` members at a time."""
     member, column = np.unique(np.concatenate(sets), return_inverse=True)
@@ -164,10 +186,10 @@ def forest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
         label = merge(label, a[first], b[first])
 
 
-def class_links(fp: np.ndarray, group: np.ndarray, level: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places, block by block, of rows of different classes that are ``radius`` bits or fewer apart and have ``similarity``: a spanning forest of those
-    that surely have it by their sets, and all others that have it by samples, less ``SIGMAS`` standard deviations, or but for a collision of hashes."""
-    n = len(fp)
+def class_links(size: np.ndarray, group: np.ndarray, level: np.ndarray, sets: list[np.ndarray], similarity: float, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places, block by block, of rows of different classes that have ``similarity``: a spanning forest of those that surely have it by their sets, and all
+    others that have it by samples, less ``SIGMAS`` standard deviations, or but for a collision of hashes. ``size`` is that of the whole sets, in order."""
+    n = len(size)
     _, first, of = np.unique(group, return_index=True, return_inverse=True)
     label = first[of]
     count = np.array([len(x) for x in sets])
@@ -176,7 +198,9 @@ def class_links(fp: np.ndarray, group: np.ndarray, level: np.ndarray, sets: list
         for j in range(i, n, block):
             x = np.arange(i, min(i + block, n))
             y = x if i == j else np.arange(j, min(j + block, n))
-            fits = (label[x][:, None] != label[y][None]) & (np.bitwise_count(fp[x][:, None] ^ fp[y][None]) <= radius) & (x[:, None] < y[None]) & (np.abs(level[x][:, None] - level[y][None]) <= 1)
+            if size[x[-1]] < similarity * size[y[0]]:
+                break  # too few for all that follow
+            fits = (label[x][:, None] != label[y][None]) & (size[x][:, None] >= similarity * size[y][None]) & (x[:, None] < y[None]) & (np.abs(level[x][:, None] - level[y][None]) <= 1)
             a, b = np.nonzero(fits)
             if not len(a):
                 continue
@@ -237,23 +261,25 @@ def links(fps: DataFrame, radius: int = 4, chunk: int = 1_000_000) -> DataFrame:
     return by_key(fps.select("fp")).mapInPandas(join, "u long, v long")
 
 
-def links_between(texts: DataFrame, radius: int, similarity: float, chunk: int = 10_000) -> DataFrame:
-    """tu, tv: links that join the same ``texts`` (tid, fp, root; level and sample of their shingles) as all links between different roots under a
-    shared key, ``radius`` bits or fewer apart and of ``similarity``; some may fall short of it."""
+def links_between(texts: DataFrame, similarity: float, chunk: int = 10_000) -> DataFrame:
+    """tu, tv: links that join the same ``texts`` (key, tid, root; size, level and sample of their shingles) as all links between different roots under a
+    shared key of ``similarity``; some may fall short of it."""
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in whole_keys(batches, chunk):
-            key, fp, level = rows.key.to_numpy(), rows.fp.to_numpy().view(np.uint64), rows.level.to_numpy()
+            key, size, level = rows.key.to_numpy(), rows["size"].to_numpy(), rows.level.to_numpy()
             tid, group = rows.tid.to_numpy(), pd.factorize(rows.root)[0]
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             end = np.append(start[1:], len(key))
             for k in np.flatnonzero(np.minimum.reduceat(group, start) != np.maximum.reduceat(group, start)):
                 at = slice(start[k], end[k])
-                for a, b in class_links(fp[at], group[at], level[at], [np.frombuffer(x, np.uint32) for x in rows["sample"][at]], radius, similarity):
+                for a, b in class_links(size[at], group[at], level[at], [np.frombuffer(x, np.uint32) for x in rows["sample"][at]], similarity):
                     u, v = tid[at][a], tid[at][b]
                     yield pd.DataFrame({"tu": np.where(u < v, u, v), "tv": np.where(u < v, v, u)})
 
-    return by_key(texts.select("tid", "fp", "root", "level", "sample"), step=50).mapInPandas(join, "tu string, tv string").distinct()
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    rows = texts.select("key", "tid", "root", "size", "level", "sample").repartition(parts, "key").sortWithinPartitions("key", "size")
+    return rows.mapInPandas(join, "tu string, tv string").distinct()
 
 
 def simhash(hashes: np.ndarray) -> int:
@@ -306,27 +332,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     return marks.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 10) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Keep one document, that of the smallest doc_id, of each group of near-duplicates.
 
-    Copies are linked where the Jaccard similarity of their distinct ``shingle``-word shingles is ``similarity`` or more. Candidates are texts whose
-    fingerprints over distinct words, which edits move far less than those over shingles, share a Golay key and differ in
-    ``radius`` bits or fewer; links are verified on the shingles. At first a spanning forest of the candidates is verified. Where that
-    leaves parts of what the forest connects apart, every candidate between different parts is compared by their shingles, or samples of them where there
-    are over ``SAMPLE``, and verified if these allow the similarity; pairs within a part are never made.
+    Copies are linked where the Jaccard similarity of their distinct ``shingle``-word shingles is ``similarity`` or more. Candidates are texts that
+    share one of their ``BANDS`` keys. At first each text is verified with the first text under its ``EARLY`` keys. Where a key then still has texts
+    that are apart, all of these are compared under it by their shingles, or samples of them where there are over ``SAMPLE``, and verified
+    if these allow the similarity; pairs of texts that are joined already are never made.
     """
     spark = docs.sparkSession
     scratch.small_batches(spark)
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            ids, texts, keys_ = [], [], []
             for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
                 words = words_of(text)
-                h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in set(words)), np.uint64)
-                rows.append((doc_id, hashlib.md5(b" ".join(words)).hexdigest(), simhash(h)))
-            ids, texts, fps = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pd.DataFrame({"doc_id": ids, "tid": texts, "fp": np.array(fps, np.uint64).view(np.int64)})
+                ids.append(doc_id)
+                texts.append(hashlib.md5(b" ".join(words)).hexdigest())
+                keys_.append(band_keys(shingle_hashes(words, shingle)))
+            yield pd.DataFrame({"doc_id": ids, "tid": texts, "keys": keys_})
 
     @F.pandas_udf("array<long>")
     def shingles(text: pd.Series) -> pd.Series:
@@ -341,17 +366,15 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
         return pd.Series([hashlib.md5(b" ".join(words_of(t))).hexdigest() for t in text])
 
     slim = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    marks = scratch.table(slim.mapInPandas(mark, "doc_id string, tid string, fp long").withColumn("doc_id", F.col("doc_id").cast("long")), "marks")
-    texts = scratch.table(marks.groupBy("tid").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")), "texts")
-    by_fp = scratch.table(texts.groupBy("fp").agg(F.min("tid").alias("tid")), "by_fp")
-    pairs = links(by_fp.select("fp"), radius).distinct()
-    ends = [by_fp.select(F.col("fp").alias(x), F.col("tid").alias(f"t{x}")) for x in "uv"]
-    pairs = pairs.join(ends[0], "u").join(ends[1], "v").select("tu", "tv")
-    same = texts.join(by_fp.withColumnRenamed("tid", "tv"), "fp").where("tid <> tv").select(F.col("tid").alias("tu"), "tv")
-    pairs = scratch.table(pairs.unionByName(same), "pairs")
-    wanted = pairs.select(F.explode(F.array("tu", "tv")).alias("tid")).distinct()
+    marks = scratch.table(slim.mapInPandas(mark, "doc_id string, tid string, keys array<long>").withColumn("doc_id", F.col("doc_id").cast("long")), "marks")
+    texts = scratch.table(marks.groupBy("tid").agg(F.min("doc_id").alias("least"), F.any_value("keys").alias("keys")), "texts")
+    keyed = texts.select("tid", F.posexplode("keys").alias("band", "key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("tid").alias("head")).where("n > 1").select("key", "head")
+    member = scratch.table(keyed.join(shared, "key"), "keys")
+    pairs = member.where((F.col("band") < EARLY) & (F.col("tid") != F.col("head"))).select(F.col("head").alias("tu"), F.col("tid").alias("tv")).distinct()
+    wanted = member.select("tid").distinct()
     sets = docs.select(F.col("text").cast("binary").alias("text")).withColumn("tid", text_id("text")).join(wanted, "tid", "left_semi")
-    sets = scratch.table(sets.dropDuplicates(["tid"]).select("tid", shingles("text").alias("s")), "sets")
+    sets = scratch.table(sets.dropDuplicates(["tid"]).select("tid", F.monotonically_increasing_id().alias("sid"), shingles("text").alias("s")), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("tid").alias("tu"), F.col("s").alias("a")), "tu").join(sets.select(F.col("tid").alias("tv"), F.col("s").alias("b")), "tv")
@@ -360,20 +383,23 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
 
     def place(linked: DataFrame) -> DataFrame:
         roots = components(linked)
-        return texts.join(roots, texts.tid == roots.node, "left").select("tid", "least", "fp", F.coalesce("root", "tid").alias("root"))
+        return texts.join(roots, texts.tid == roots.node, "left").select("tid", "least", F.coalesce("root", "tid").alias("root"))
+
+    def apart(rows: DataFrame) -> DataFrame:
+        """Rows under keys that have texts of different roots."""
+        return rows.join(rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key"), "key", "left_semi")
 
     linked = scratch.table(verified(pairs), "linked")
     placed = scratch.table(place(linked), "placed")
-    forest = components(pairs.select(F.col("tu").alias("u"), F.col("tv").alias("v"))).select(F.col("node").alias("tid"), F.col("root").alias("tree"))
-    trees = placed.join(forest, "tid").select("tid", "fp", "root", "tree")
-    apart = trees.groupBy("tree").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("tree")
-    alone = sets.select("tid", F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("tid").alias("tid")).where("n = 1").groupBy("tid").agg(F.count(F.lit(1)).alias("alone"))
-    # A shingle that no other text has is in no intersection.
-    open_ = trees.join(apart, "tree", "left_semi").join(sets, "tid").join(alone, "tid", "left")
-    open_ = open_.where(F.size("s") - F.coalesce("alone", F.lit(0)) >= similarity * F.size("s")).select("tid", "fp", "root", sampled("s").alias("m"))
-    open_ = scratch.table(open_.select("tid", "fp", "root", "m.*"), "open")
+    open_ = scratch.table(apart(member.select("tid", "key").join(placed.select("tid", "root"), "tid")), "apart")
+    some = sets.join(open_.select("tid").distinct(), "tid", "left_semi")
+    # A shingle that no other of these texts has is in no intersection.
+    alone = some.select("sid", F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("sid")).where("n = 1").groupBy("sid").agg(F.count(F.lit(1)).alias("alone"))
+    some = some.join(alone, "sid", "left").where(F.size("s") - F.coalesce("alone", F.lit(0)) >= similarity * F.size("s"))
+    some = scratch.table(some.select("tid", F.size("s").alias("size"), sampled("s").alias("m")).select("tid", "size", "m.*"), "samples")
+    open_ = scratch.table(apart(open_.join(some.select("tid"), "tid", "left_semi")), "open")
     if open_.limit(1).count():
-        more = verified(scratch.table(links_between(open_, radius, similarity), "pairs"))
+        more = verified(scratch.table(links_between(open_.join(some, "tid"), similarity), "pairs"))
         placed = place(linked.unionByName(more))
     winners = placed.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "tid")).alias("w")).select("w.least", "w.tid")
     # A text's rows of the winning doc_id; usually one each.

@@ -112,6 +112,33 @@ def test_near_duplicates_of_a_group_of_edits(spark):
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(frame).collect()) == sorted(set(label.tolist()))
 
 
+def test_near_duplicates_with_added_and_cut_passages(spark):
+    """Pairs just above and just below the threshold, by a passage added at the end or cut off there; few distinct words in a third of them."""
+    rnd, texts, families = random.Random(11), [], []
+    for k in range(240):
+        kinds = [f"{rnd.choice('abcdefghijkl')}{rnd.randint(0, 10**9)}" for _ in range(100 if k % 3 else 3000)]
+        base = [rnd.choice(kinds) for _ in range(rnd.choice([60, 200, 600, 1500]))]
+        n = max(1, int(len(base) * rnd.choice([0.1, 0.17, 0.22, 0.26, 0.4])))
+        other = base[:-n] if k % 2 else [*base, *(f"new{k}n{rnd.randint(0, 10**9)}" for _ in range(n))]
+        families.append((len(texts), len(texts) + 1))
+        texts += [" ".join(base), " ".join(other)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = [set(simhash.shingle_hashes(simhash.words_of(t.encode()), 5).tolist()) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert 80 < len(links) < 200 and set(links) <= set(families)
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(frame).collect()) == sorted(set(range(len(texts))) - {j for _, j in links})
+
+
+def test_band_keys():
+    """A key is shared as often as the similarity says, so links at 0.8 are found but for some 5 in 10^8."""
+    rng, got = np.random.default_rng(7), []
+    for n in (30, 300, 3000, 9000):
+        for _ in range(100):
+            h = rng.integers(0, 1 << 63, n, np.uint64)
+            got.append((simhash.band_keys(h[: n * 9 // 10]) == simhash.band_keys(h[n // 10 :])).mean())
+    assert min(got) > 0 and abs(np.mean(got) - 0.8**simhash.ROWS) < 0.02 and not len(simhash.band_keys(np.empty(0, np.uint64)))
+
+
 def test_samples():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 300, 150).astype(np.uint32)) for _ in range(20)]
