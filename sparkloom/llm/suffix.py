@@ -28,6 +28,9 @@ from pyspark.sql import functions as F
 from sparkloom.llm import scratch
 
 LENGTH, GRAM = 400, 100
+#: Passages of so many words are cut by ``drop_repeats`` whatever their bytes. A word of fewer than WIDE bytes is widened to WIDE by a byte that UTF-8 never
+#: has, so WORDS words are at least WORDS * (WIDE + 1) - 1 = 407 bytes.
+WORDS, WIDE, PAD = 51, 7, 0xFF
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 STEP = 1 << 20
@@ -305,14 +308,38 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, max_gr
     return seen.drop("_hash", "_at", "_digest").join(spans, "_rid", "left").drop("_rid")
 
 
-def _apply(packed: Column, spans: Column, with_text: bool) -> Column:
-    @F.pandas_udf("struct<removed: long, runs: long, sha: string, text: string>")
+def widen(text: bytes) -> bytes:
+    """``text`` with every word of fewer than ``WIDE`` bytes followed by as many ``PAD`` as it lacks."""
+    data = np.frombuffer(text, np.uint8)
+    space = np.concatenate([[True], (data == 32) | ((data >= 9) & (data <= 13)), [True]])
+    start, end = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+    return np.insert(data, np.repeat(end, np.maximum(WIDE - (end - start), 0)), PAD).tobytes()
+
+
+def narrow(wide: bytes) -> bytes:
+    return wide.replace(bytes([PAD]), b"")
+
+
+def long_runs(wide: bytes, spans, length: int, words: int) -> list[tuple[int, int]]:
+    """The runs that ``spans`` cover together, of those with ``words`` words or ``length`` bytes, padding left out."""
+    runs: list[list[int]] = []
+    for a, b in sorted(spans):
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], b)
+        else:
+            runs.append([a, b])
+    kept = [(a, b, narrow(wide[a:b])) for a, b in runs]
+    return [(a, b) for a, b, t in kept if len(t) >= length or len(t.split()) >= words]
+
+
+def _apply(packed: Column, spans: Column) -> Column:
+    @F.pandas_udf("struct<removed: long, runs: long, sha: string>")
     def cut(packed: pd.Series, spans: pd.Series) -> pd.DataFrame:
         unpack, rows = zstandard.ZstdDecompressor(), []
         for t, s in zip(packed, spans, strict=True):
             kept, removed, runs = _cut(unpack.decompress(t), [(x["_a"], x["_b"]) for x in s] if s is not None else [])
-            rows.append((removed, runs, None if with_text else hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
-        return pd.DataFrame(rows, columns=["removed", "runs", "sha", "text"])
+            rows.append((removed, runs, hashlib.sha256(kept).hexdigest()))
+        return pd.DataFrame(rows, columns=["removed", "runs", "sha"])
 
     return cut(packed, spans)
 
@@ -320,15 +347,35 @@ def _apply(packed: Column, spans: Column, with_text: bool) -> Column:
 def repeats_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     found = find_repeats(docs.select("doc_id", "text"), length, gram=max(1, length // 4))
-    out = found.select("doc_id", F.col("_n").alias("n_bytes"), _apply(F.col("_text"), F.col("_spans"), False).alias("_c"))
+    out = found.select("doc_id", F.col("_n").alias("n_bytes"), _apply(F.col("_text"), F.col("_spans")).alias("_c"))
     return out.select("doc_id", "n_bytes", F.col("_c.removed").alias("n_removed"), F.col("_c.runs").alias("n_spans"), F.col("_c.sha").alias("kept_sha256"))
 
 
-def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with the repeated bytes taken out of text (parts of characters go too) and n_chars, if there, counted anew.
-    Null texts become empty."""
-    found = find_repeats(docs, length, gram=max(1, length // 4))
-    out = found.withColumn("text", _apply(F.col("_text"), F.col("_spans"), True).getField("text"))
+def drop_repeats(docs: DataFrame, length: int = LENGTH, words: int = WORDS) -> DataFrame:
+    """``docs`` with repeated passages of ``words`` words or ``length`` bytes taken out of text (parts of characters go too) and n_chars, if there, counted
+    anew. Null texts become empty.
+
+    Strings are found in widened texts, where either is at least ``least`` bytes: of ``length`` bytes that start inside a short word, up to WIDE - 1 go
+    unseen, as its padding differs. Runs of repeated strings that are shorter than both stay.
+    """
+    least = min(length - WIDE + 1, words * (WIDE + 1) - 1)
+
+    @F.pandas_udf("binary")
+    def wide(text: pd.Series) -> pd.Series:
+        return pd.Series([widen(b"" if t is None else bytes(t)) for t in text], dtype=object)
+
+    @F.pandas_udf("string")
+    def cut(packed: pd.Series, spans: pd.Series) -> pd.Series:
+        unpack, kept = zstandard.ZstdDecompressor(), []
+        for t, s in zip(packed, spans, strict=True):
+            t = unpack.decompress(t)
+            runs = long_runs(t, [(x["_a"], x["_b"]) for x in s], least, words) if s is not None else []
+            kept.append(narrow(_cut(t, runs)[0]).decode("utf-8", "ignore"))
+        return pd.Series(kept, dtype=object)
+
+    scratch.small_batches(docs.sparkSession)
+    found = find_repeats(docs.withColumn("text", wide(F.col("text").cast("binary"))), least, gram=max(1, least // 4))
+    out = found.withColumn("text", cut("_text", "_spans"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

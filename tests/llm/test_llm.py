@@ -55,6 +55,30 @@ def test_suffix(docs):
     assert got == want
 
 
+def test_drop_repeats_by_words(spark):
+    """Passages of 51 words go whatever their bytes, in any surroundings, as do strings of 400 bytes without words; those of 45 words stay."""
+    rnd = random.Random(3)
+    say = lambda n, k: " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(rnd.randint(1, k))) for _ in range(n))
+    shared = [say(51, k) for k in (1, 3, 8, 12)] + ["".join(rnd.choice("日本語文字列検索") for _ in range(140))]
+    short = [say(45, k) for k in (3, 8)]
+    texts = []
+    for passage in shared + short:
+        texts += [say(40, 9) + "\n" + passage + ". " + say(60, 9), say(25, 9) + " " + passage + "\t" + say(30, 9), say(90, 9)]
+    rows = [(i, t, len(t or "")) for i, t in enumerate([*texts, None])]
+    got = {r.doc_id: r for r in suffix.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
+    for k, passage in enumerate(shared):
+        for i in (3 * k, 3 * k + 1):
+            # The word that ends the passage may have a byte more, and spaces around it may be shared.
+            assert passage[20:-20] not in got[i].text
+            assert len(texts[i]) - len(passage) - 4 <= got[i].n_chars == len(got[i].text) <= len(texts[i]) - len(passage) + 8
+    for i, t in enumerate(texts):
+        assert got[i].text == t if i % 3 == 2 or i >= 3 * len(shared) else got[i].text != t
+    assert got[len(texts)].text == ""
+    for t in [*texts, "", " a ", "a", "ab\r\n\n cdefghij "]:
+        assert suffix.narrow(suffix.widen(t.encode())) == t.encode()
+        assert all(len(w) >= suffix.WIDE for w in suffix.widen(t.encode()).split())
+
+
 def test_suffix_order():
     rng = np.random.default_rng(1)
     rows = rng.integers(97, 99, (200, 12)).astype(np.uint8)
