@@ -188,10 +188,12 @@ def forest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
 
 def class_links(size: np.ndarray, group: np.ndarray, level: np.ndarray, sets: list[np.ndarray], similarity: float, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places, block by block, of rows of different classes that have ``similarity``: a spanning forest of those that surely have it by their sets, and all
-    others that have it by samples, less ``SIGMAS`` standard deviations, or but for a collision of hashes. ``size`` is that of the whole sets, in order."""
+    others that have it by samples, less ``SIGMAS`` standard deviations, or but for a collision of hashes. ``size`` is that of the whole sets, in order;
+    sets of level 0 have all 64 bits of their hashes, so two of them are sure or no link."""
     n = len(size)
     _, first, of = np.unique(group, return_index=True, return_inverse=True)
     label = first[of]
+    whole, sets = sets, [x if lv else np.unique(x >> np.uint64(32)).astype(np.uint32) for x, lv in zip(sets, level.tolist(), strict=True)]
     count = np.array([len(x) for x in sets])
     next_ = np.array([np.searchsorted(x, 1 << 31 - lv) for x, lv in zip(sets, level.tolist(), strict=True)])
     for i in range(0, n, block):
@@ -205,6 +207,13 @@ def class_links(size: np.ndarray, group: np.ndarray, level: np.ndarray, sets: li
             if not len(a):
                 continue
             both = x if i == j else np.concatenate([x, y])
+            if not level[both].any():
+                a, b, common = x[a], y[b], in_common([whole[k] for k in both])[a, b if i == j else b + len(x)]
+                sure = common >= similarity * (size[a] + size[b] - common)
+                label, u, v = forest(label, a[sure], b[sure])
+                if len(u):
+                    yield u, v
+                continue
             a, b, common = x[a], y[b], in_common([sets[k] for k in both])[a, b if i == j else b + len(x)]
             of_a, of_b = np.where(level[a] < level[b], next_[a], count[a]), np.where(level[b] < level[a], next_[b], count[b])
             all_ = of_a + of_b - common
@@ -273,7 +282,7 @@ def links_between(texts: DataFrame, similarity: float, chunk: int = 10_000) -> D
             end = np.append(start[1:], len(key))
             for k in np.flatnonzero(np.minimum.reduceat(group, start) != np.maximum.reduceat(group, start)):
                 at = slice(start[k], end[k])
-                for a, b in class_links(size[at], group[at], level[at], [np.frombuffer(x, np.uint32) for x in rows["sample"][at]], similarity):
+                for a, b in class_links(size[at], group[at], level[at], [np.frombuffer(x, np.uint32 if lv else np.uint64) for x, lv in zip(rows["sample"][at], level[at], strict=True)], similarity):
                     u, v = tid[at][a], tid[at][b]
                     yield pd.DataFrame({"tu": np.where(u < v, u, v), "tv": np.where(u < v, v, u)})
 
@@ -359,7 +368,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
 
     @F.pandas_udf("struct<level: int, sample: binary>")
     def sampled(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([sample(np.asarray(x, np.int64)) for x in s], columns=["level", "sample"])
+        found = [(x, *sample(np.asarray(x, np.int64))) for x in s]
+        return pd.DataFrame([(lv, h if lv else np.asarray(x, np.int64).tobytes()) for x, lv, h in found], columns=["level", "sample"])
 
     @F.pandas_udf("string")
     def text_id(text: pd.Series) -> pd.Series:
