@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -24,20 +23,53 @@ def root(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{root(spark)}/sparkloom-{uuid.uuid4().hex}/{name}"
+    """A folder of this session's own."""
+    return f"{root(spark)}/sparkloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{name}"
+
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The shuffle files behind ``df`` have no further reader, so the JVM is asked to collect them now.
+    The shuffle files behind ``df`` have no further reader, so Spark deletes them as the write ends.
     """
     spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    path, before = new_folder(spark, name), spark.conf.get(CLEANUP, None)
+    try:
+        spark.conf.set(CLEANUP, "true")
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of written tables that have no further reader."""
+    for t in tables:
+        path = getattr(t, "_scratch", None)
+        if path:
+            _delete(t.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, nor with another underscore at its end."""
+    taken = {c.lower().rstrip("_") for c in df.columns}
+    while name.lower() in taken:
+        name = "x" + name
+    return name
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
@@ -48,9 +80,5 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
 
 
 def purge(spark: SparkSession) -> None:
-    """Delete every intermediate table; call it once results are written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root(spark))
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(path, "sparkloom-*")) or []:
-        fs.delete(status.getPath(), True)
+    """Delete every intermediate table of this session; call it once results are written."""
+    _delete(spark, f"{root(spark)}/sparkloom-{spark.sparkContext.applicationId}")

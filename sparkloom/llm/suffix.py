@@ -7,17 +7,18 @@ and within each k-gram the suffixes from the anchor on and the reversed prefixes
 that compares suffixes in logarithmic time: prefix polynomial hashes and binary search give the common extension of
 two suffixes. Neighbours' common extensions are then verified on the bytes; a collision makes the chunk be sorted by
 bytes. Classes of the two orders give, for each anchor, the first and last start of a repeated string around it; what
-those cover is removed. Copies of whole texts take part once. A k-gram with more than ``max_group`` different contexts is split
-by the longer strings that its members have around the anchor, as often as needed, so no group outgrows a task.
+those cover is removed. Copies of whole texts take part once. Contexts of a k-gram with more than ``max_group`` different ones are compared by
+digests of longer strings instead, so no group outgrows a task; rows of keys that hold much of a table meet a broadcast of these keys,
+of which there are few by definition.
 
 Defined results: null text counts as empty; nothing is removed from texts shorter than ``length`` bytes; repeated rows are copies of
-each other; strings never cross documents. Other columns pass through ``drop_repeats`` unchanged.
+each other; strings never cross documents; very long texts go whole, in steps. Other columns, whatever their names, pass through ``drop_repeats`` unchanged.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -187,102 +188,108 @@ def _cut(text: bytes, spans) -> tuple[bytes, int, int]:
     return b"".join([*parts, text[at:]]), removed, runs
 
 
-def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, max_group: int = 16_384, chunk: int = 8_192) -> DataFrame:
-    """``docs`` with text packed: its other columns, and _n (bytes), _text (packed), _spans (array of _a, _b to remove)."""
+def _hot(counts: DataFrame, n: str, total: int, parts: int) -> Column:
+    """Whether a key's rows are more than a quarter of an even partition; at most 4 * ``parts`` keys are, so they may be broadcast."""
+    return F.col(n) > max(1, total // (4 * parts))
+
+
+def join_counted(rows: DataFrame, counts: DataFrame, keys: list[str], n: str, total: int, parts: int) -> DataFrame:
+    """Inner join of ``rows`` with one row a key, ``n`` being that key's number of rows of ``total``: rows of hot keys meet a broadcast and are not moved."""
+    hot = F.broadcast(counts.where(_hot(counts, n, total, parts)))
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(counts.where(~_hot(counts, n, total, parts)), keys)
+    return rows.join(hot, keys).unionByName(rest)
+
+
+def text_key(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def join_texts(rows: DataFrame, key: str, cuts: DataFrame, parts: int) -> DataFrame:
+    """Left join of ``rows`` with ``cuts`` (one row a ``key``). Keys of more than a quarter of an even partition, at most 4 * ``parts`` of them, meet a broadcast."""
+    total = rows.count()
+    often = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    often = rows.sparkSession.createDataFrame([(bytes(r[0]),) for r in often.where(_hot(often, "n", total, parts)).select(key).collect()], f"{key} binary")
+    own = [c for c in cuts.columns if c != key]
+    hot = F.broadcast(often.join(cuts, key, "left").select(key, F.struct(*own).alias(f"{key}_")))
+    held = rows.join(hot, key, "left")
+    # Rows that have their answer, or need none, are spread by a key that nothing else has.
+    alone = F.unhex(F.md5(F.monotonically_increasing_id().cast("string")))
+    held = held.withColumn(key, F.when(F.col(f"{key}_").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(alone))
+    out = held.join(cuts.select(key, F.struct(*own).alias(f"{key}__")), key, "left")
+    return out.withColumn(key, F.coalesce(f"{key}_", f"{key}__")).drop(f"{key}_", f"{key}__")
+
+
+def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, max_group: int = 16_384, chunk: int = 8_192, prepare: Callable[[bytes], bytes] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Of the different texts of ``docs`` (text) that are ``length`` bytes or more after ``prepare``: (texts: digest, n, copies, packed), and (spans: digest,
+    spans as an array of a, b), both written tables. Texts with copies are repeated as a whole and have no spans."""
     spark = docs.sparkSession
     scratch.small_batches(spark)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
-    @F.pandas_udf("struct<n: long, digest: string, packed: binary, hash: array<long>, at: array<int>>")
-    def scan(text: pd.Series) -> pd.DataFrame:
-        pack, rows = zstandard.ZstdCompressor(level=3), []
-        for t in text:
-            t = b"" if t is None else bytes(t)
-            h, at = anchors(t, length, gram)
-            rows.append((len(t), hashlib.md5(t).hexdigest(), pack.compress(t), h, at.astype(np.int32)))
-        return pd.DataFrame(rows, columns=["n", "digest", "packed", "hash", "at"])
-
-    others = [c for c in docs.columns if c != "text"]
-    seen = docs.select(*others, scan(F.col("text").cast("binary")).alias("_s"), F.monotonically_increasing_id().alias("_rid"))
-    seen = scratch.table(seen.select(*others, "_rid", F.col("_s.n").alias("_n"), F.col("_s.digest").alias("_digest"), F.col("_s.packed").alias("_text"), F.col("_s.hash").alias("_hash"), F.col("_s.at").alias("_at")), "texts")
-    long_ = seen.where(F.col("_n") >= length)
-    groups = long_.groupBy("_digest").agg(F.min("_rid").alias("_first"), F.count(F.lit(1)).alias("_copies"))
-    member = scratch.table(long_.select("_rid", "_n", "_digest").join(groups, "_digest").select("_rid", "_n", "_copies", (F.col("_rid") == F.col("_first")).alias("_lead")), "members")
-    lead = member.where("_lead").select("_rid")
-    points = long_.select("_rid", "_hash", "_at").join(lead, "_rid").select("_rid", F.explode(F.arrays_zip("_hash", "_at")).alias("_p"))
-    points = scratch.table(points.select("_rid", F.col("_p._hash").alias("gram"), F.col("_p._at").alias("at")), "anchors")
-    twice = points.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    marked = points.join(twice, "gram").groupBy("_rid").agg(F.collect_list(F.struct("at", "gram")).alias("marks"))
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            rows = []
+            for digest, t in zip(batch.digest, batch.text, strict=True):
+                t = prepare(bytes(t)) if prepare else bytes(t)
+                if len(t) >= length:
+                    h, at = anchors(t, length, gram)
+                    rows.append((digest, len(t), pack.compress(t), h, at.astype(np.int32)))
+            yield pd.DataFrame(rows, columns=["digest", "n", "packed", "hash", "at"])
+
+    binary = docs.select(F.col("text").cast("binary").alias("text")).where("text IS NOT NULL")
+    seen = binary.select(text_key(F.col("text")).alias("digest"), "text").mapInPandas(scan, "digest binary, n long, packed binary, hash array<long>, at array<int>")
+    seen = seen.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), *(F.any_value(c).alias(c) for c in ("n", "packed", "hash", "at")))
+    seen = scratch.table(seen, "texts")
+    texts = seen.select("digest", "packed")
+
+    points = seen.select("digest", F.explode(F.arrays_zip("hash", "at")).alias("p")).select("digest", F.col("p.hash").alias("gram"), F.col("p.at").alias("at"))
+    twice = scratch.table(points.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "grams")
+    n_points = twice.agg(F.sum("n")).first()[0] or 0
+    marked = join_counted(points, twice, ["gram"], "n", n_points, parts)
+    gather = lambda rows, *names: rows.groupBy("digest").agg(F.collect_list(F.struct(*names)).alias("marks"))
 
     def context(t: bytes, at: int) -> tuple[int, bytes]:
         low = max(0, at - (length - gram))
         return at - low, t[low : at + length]
 
-    def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def unpacked(batch: pd.DataFrame) -> Iterator[tuple]:
         unpack = zstandard.ZstdDecompressor()
+        for digest, packed, marks in zip(batch.digest, batch.packed, batch.marks, strict=True):
+            yield digest, unpack.decompress(packed), marks
+
+    def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows: dict = {}
-            for rid, packed, marks in zip(batch._rid, batch._text, batch.marks, strict=True):
-                t = unpack.decompress(packed)
+            for digest, t, marks in unpacked(batch):
                 for m in marks:
                     left, c = context(t, m["at"])
-                    rows.setdefault((rid, m["gram"], hashlib.md5(left.to_bytes(4, "little") + c).digest(), left, len(c) - left), []).append(m["at"])
-            yield pd.DataFrame([(*k, v) for k, v in rows.items()], columns=["_rid", "gram", "kind", "before", "after", "at"])
-
-    found = scratch.table(seen.select("_rid", "_text").join(marked, "_rid").mapInPandas(name, "_rid long, gram long, kind binary, before int, after int, at array<int>"), "contexts")
-    kinds = scratch.table(found.groupBy("gram", "kind", "before", "after").agg(F.sum(F.size("at")).alias("n"), F.min(F.struct("_rid", F.col("at")[0].alias("at"))).alias("one")), "kinds")
+                    rows.setdefault((digest, m["gram"], hashlib.md5(left.to_bytes(4, "little") + c).digest(), left, len(c) - left), []).append(m["at"])
+            yield pd.DataFrame([(*k, v) for k, v in rows.items()], columns=["digest", "gram", "kind", "before", "after", "at"])
+
+    found = texts.join(gather(marked, "at", "gram"), "digest").mapInPandas(name, "digest binary, gram long, kind binary, before int, after int, at array<int>")
+    found = scratch.table(found, "contexts")
+    scratch.drop(twice)
+    kinds = found.groupBy("gram", "kind", "before", "after").agg(F.sum(F.size("at")).alias("n"), F.min(F.struct("digest", F.col("at")[0].alias("at"))).alias("one"))
+    kinds = scratch.table(kinds, "kinds")
     crowd = scratch.table(kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "crowds")
-    # What a group has in common is its k-gram at first. A large group is split by what its strings share that start within the first, or
-    # the second, half of the places before the anchor: a longer string, so by the longer string itself; and so on.
-    node = kinds.join(crowd, "gram").select(F.col("one._rid").alias("_rid"), F.col("one.at").alias("at"), "gram", F.col("gram").alias("of"), "kind", F.lit(0).alias("a"), F.lit(length - gram).alias("b"), "size")
-    ready, same = node.where(F.col("size") <= max_group), None
-    large = node.where(F.col("size") > max_group)
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            out = []
-            for rid, packed, marks in zip(batch._rid, batch._text, batch.marks, strict=True):
-                t = unpack.decompress(packed)
-                for m in marks:
-                    mid, at = (m["a"] + m["b"]) // 2, m["at"]
-                    for a, b in ((m["a"], mid), (mid + 1, m["b"])):
-                        if a <= at and at - b + length <= len(t):
-                            key = hashlib.md5(a.to_bytes(4, "little") + b.to_bytes(4, "little") + t[at - a : at - b + length]).digest()
-                            out.append((rid, at, int.from_bytes(key[:8], "little", signed=True), m["of"], m["kind"], a, b, key))
-            yield pd.DataFrame(out, columns=["_rid", "at", "gram", "of", "kind", "a", "b", "key"])
-
-    texts = seen.select("_rid", "_text")
-    gather = lambda rows, *names: rows.groupBy("_rid").agg(F.collect_list(F.struct(*names)).alias("marks"))
-    while crowd.where(F.col("size") > max_group).limit(1).count():
-        parted = texts.join(gather(large, "at", "of", "kind", "a", "b"), "_rid").mapInPandas(split, "_rid long, at int, gram long, of long, kind binary, a int, b int, key binary")
-        parted = scratch.table(parted, "parts")
-        crowd = scratch.table(parted.groupBy("of", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "crowds")
-        parted = parted.join(crowd, ["of", "key"])
-        ready = ready.unionByName(parted.where((F.col("size") <= max_group) & (F.col("a") < F.col("b"))).drop("key"))
-        whole = parted.where("a = b").select(F.col("of").alias("gram"), "kind", F.col("a").alias("least"), F.col("a").alias("most"))
-        same = whole if same is None else same.unionByName(whole)
-        large = parted.where((F.col("size") > max_group) & (F.col("a") < F.col("b"))).drop("key")
-        crowd = scratch.table(large.select("size").distinct(), "sizes")
+    n_kinds = crowd.agg(F.sum("size"), F.max("size")).first()
+    node = join_counted(kinds.select("gram", "kind", "one.digest", "one.at"), crowd, ["gram"], "size", n_kinds[0] or 0, parts)
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            out = []
-            for packed, marks in zip(batch._text, batch.marks, strict=True):
-                t = unpack.decompress(packed)
-                out += [(m["gram"], m["of"], m["kind"], *context(t, m["at"])) for m in marks]
-            yield pd.DataFrame(out, columns=["gram", "of", "kind", "before", "context"])
+            out = [(m["gram"], m["kind"], *context(t, m["at"])) for _, t, marks in unpacked(batch) for m in marks]
+            yield pd.DataFrame(out, columns=["gram", "kind", "before", "context"])
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def solved(gram, of, kind, before, context):
+        def solved(gram, kind, before, context):
             least, most = repeats(context, before, gram, length, chunk_gram)
             hit = np.flatnonzero(most >= 0)
-            return pd.DataFrame({"gram": of[hit], "kind": [kind[i] for i in hit], "least": least[hit], "most": most[hit]})
+            return pd.DataFrame({"gram": gram[hit], "kind": [kind[i] for i in hit], "least": least[hit], "most": most[hit]})
 
         held = None
         for batch in batches:
-            got = [batch.gram.to_numpy(), batch.of.to_numpy(), batch.kind.tolist(), batch.before.to_numpy().astype(np.int64), batch.context.tolist()]
+            got = [batch.gram.to_numpy(), batch.kind.tolist(), batch.before.to_numpy().astype(np.int64), batch.context.tolist()]
             held = got if held is None else [a + b if isinstance(a, list) else np.concatenate([a, b]) for a, b in zip(held, got, strict=True)]
             while len(held[0]) > chunk:
                 cut = int(np.searchsorted(held[0], held[0][chunk]))  # groups stay whole
@@ -295,17 +302,73 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, max_gr
             yield solved(*held)
 
     chunk_gram = gram
-    schema = "gram long, of long, kind binary, before int, context binary"
-    near = texts.join(gather(ready, "at", "gram", "of", "kind"), "_rid").mapInPandas(fetch, schema).repartition(parts, "gram").sortWithinPartitions("gram")
-    near = near.mapInPandas(solve, "gram long, kind binary, least int, most int")
-    near = near if same is None else near.unionByName(same)
+    near = texts.join(gather(node.where(F.col("size") <= max_group), "at", "gram", "kind"), "digest").mapInPandas(fetch, "gram long, kind binary, before int, context binary")
+    near = near.repartition(parts, "gram").sortWithinPartitions("gram").mapInPandas(solve, "gram long, kind binary, least int, most int")
+    if (n_kinds[1] or 0) > max_group:
+        near = near.unionByName(_crowded(texts, node.where(F.col("size") > max_group), gather, unpacked, length, gram, parts))
     own = kinds.where("n > 1").select("gram", "kind", F.greatest(F.lit(0), F.lit(length) - F.col("after")).alias("least"), F.col("before").alias("most")).where("least <= most")
     ends = near.unionByName(own).groupBy("gram", "kind").agg(F.min("least").alias("least"), F.max("most").alias("most"))
-    spans = found.join(ends, ["gram", "kind"]).select("_rid", F.explode("at").alias("at"), "least", "most")
-    spans = spans.select("_rid", F.struct((F.col("at") - F.col("most")).cast("long").alias("_a"), (F.col("at") - F.col("least") + length).cast("long").alias("_b")).alias("_span"))
-    whole = member.where("_copies > 1").select("_rid", F.struct(F.lit(0).cast("long").alias("_a"), F.col("_n").alias("_b")).alias("_span"))
-    spans = scratch.table(spans.unionByName(whole).groupBy("_rid").agg(F.collect_list("_span").alias("_spans")), "spans")
-    return seen.drop("_hash", "_at", "_digest").join(spans, "_rid", "left").drop("_rid")
+    ends = scratch.table(ends.join(kinds.select("gram", "kind", "n"), ["gram", "kind"]), "ends")
+    spans = join_counted(found, ends, ["gram", "kind"], "n", n_points, parts).select("digest", F.explode("at").alias("at"), "least", "most")
+    spans = spans.select("digest", F.struct((F.col("at") - F.col("most")).cast("long").alias("a"), (F.col("at") - F.col("least") + length).cast("long").alias("b")).alias("span"))
+    spans = scratch.table(spans.groupBy("digest").agg(F.collect_list("span").alias("spans")), "spans")
+    scratch.drop(found, kinds, crowd, ends)
+    return seen, spans
+
+
+def _crowded(texts: DataFrame, node: DataFrame, gather, unpacked, length: int, gram: int, parts: int) -> DataFrame:
+    """gram, kind, least and most of the contexts ``node`` of k-grams with very many contexts, by the digests of longer strings, so that no group meets in a task.
+
+    The places at which a string may start before the anchor are cut into some sqrt(length) ranges. What all strings of a range have in common is a string
+    itself, and contexts that share none of a range's strings differ in most of these; what they cover together is another, and contexts that have that in
+    common with others share all strings of the range. Where only the former holds, the strings themselves are counted, one context of each kind.
+    """
+    places = length - gram + 1
+    step = max(1, round(places**0.5))
+
+    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for digest, t, marks in unpacked(batch):
+                for m in marks:
+                    at = m["at"]
+                    for a in range(0, places, step):
+                        b = min(a + step, places) - 1
+                        low, high = max(a, at + length - len(t)), min(b, at)
+                        if low <= high:
+                            core = hashlib.md5(a.to_bytes(4, "little") + t[at - a : at - b + length]).digest()
+                            whole = hashlib.md5(b"%d %d " % (low, high) + t[at - high : at - low + length]).digest()
+                            out.append((m["gram"], m["kind"], digest, at, low, high, int.from_bytes(core[:8], "little", signed=True), whole))
+            yield pd.DataFrame(out, columns=["gram", "kind", "digest", "at", "low", "high", "core", "whole"])
+
+    parted = texts.join(gather(node, "at", "gram", "kind"), "digest").mapInPandas(ranges, "gram long, kind binary, digest binary, at int, low int, high int, core long, whole binary")
+    parted = scratch.table(parted, "ranges")
+    kinds = parted.groupBy("gram", "core", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("digest", "at", "kind", "low", "high")).alias("one"))
+    kinds = scratch.table(kinds, "range-kinds")
+    cores = scratch.table(kinds.groupBy("gram", "core").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "cores")
+    total = kinds.agg(F.sum("n"), F.count(F.lit(1))).first()
+    same = kinds.where("n > 1").select("gram", "core", "whole", "n")
+    whole = join_counted(parted.select("gram", "kind", "low", "high", "core", "whole"), same, ["gram", "core", "whole"], "n", total[0] or 0, parts)
+    whole = whole.select("gram", "kind", F.col("low").alias("least"), F.col("high").alias("most"))
+    open_ = join_counted(kinds.select("gram", "core", "one"), cores, ["gram", "core"], "size", total[1] or 0, parts)
+
+    def single(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for _, t, marks in unpacked(batch):
+                for m in marks:
+                    at = m["at"]
+                    out += [(m["gram"], m["kind"], i, hashlib.md5(i.to_bytes(4, "little") + t[at - i : at - i + length]).digest()) for i in range(m["low"], m["high"] + 1)]
+            yield pd.DataFrame(out, columns=["gram", "kind", "i", "string"])
+
+    singles = texts.join(gather(open_.select("gram", "one.*"), "at", "gram", "kind", "low", "high"), "digest").mapInPandas(single, "gram long, kind binary, i int, string binary")
+    singles = scratch.table(singles, "strings")
+    often = scratch.table(singles.groupBy("string").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
+    strings = join_counted(singles, often, ["string"], "n", often.agg(F.sum("n")).first()[0] or 0, parts)
+    strings = strings.groupBy("gram", "kind").agg(F.min("i").alias("least"), F.max("i").alias("most"))
+    out = scratch.table(whole.groupBy("gram", "kind").agg(F.min("least").alias("least"), F.max("most").alias("most")).unionByName(strings), "crowded")
+    scratch.drop(parted, kinds, cores, singles, often)
+    return out
 
 
 def widen(text: bytes) -> bytes:
@@ -332,26 +395,31 @@ def long_runs(wide: bytes, spans, length: int, words: int) -> list[tuple[int, in
     return [(a, b) for a, b, t in kept if len(t) >= length or len(t.split()) >= words]
 
 
-def _apply(packed: Column, spans: Column) -> Column:
-    @F.pandas_udf("struct<removed: long, runs: long, sha: string>")
+def repeats_digest(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+    spark = docs.sparkSession
+    texts, spans = find_repeats(docs, length, gram=max(1, length // 4), **options)
+
+    @F.pandas_udf("struct<n_removed: long, n_spans: long, kept_sha256: string>")
     def cut(packed: pd.Series, spans: pd.Series) -> pd.DataFrame:
         unpack, rows = zstandard.ZstdDecompressor(), []
         for t, s in zip(packed, spans, strict=True):
-            kept, removed, runs = _cut(unpack.decompress(t), [(x["_a"], x["_b"]) for x in s] if s is not None else [])
+            kept, removed, runs = _cut(unpack.decompress(t), [(x["a"], x["b"]) for x in s])
             rows.append((removed, runs, hashlib.sha256(kept).hexdigest()))
-        return pd.DataFrame(rows, columns=["removed", "runs", "sha"])
-
-    return cut(packed, spans)
-
-
-def repeats_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    found = find_repeats(docs.select("doc_id", "text"), length, gram=max(1, length // 4))
-    out = found.select("doc_id", F.col("_n").alias("n_bytes"), _apply(F.col("_text"), F.col("_spans")).alias("_c"))
-    return out.select("doc_id", "n_bytes", F.col("_c.removed").alias("n_removed"), F.col("_c.runs").alias("n_spans"), F.col("_c.sha").alias("kept_sha256"))
+        return pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept_sha256"])
+
+    part = texts.where("copies = 1").join(spans, "digest").select("digest", cut("packed", "spans").alias("c")).select("digest", "c.*")
+    gone = texts.where("copies > 1").select("digest", F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256().hexdigest()).alias("kept_sha256"))
+    cuts = scratch.table(part.unionByName(gone), "cuts")
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    ids = scratch.table(docs.select("doc_id", text_key(text).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha")), "ids")
+    scratch.drop(texts, spans)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    out = join_texts(ids, "digest", cuts, parts)
+    return out.select("doc_id", "n_bytes", *(F.coalesce(f"digest.{c}", F.lit(0)).alias(c) for c in ("n_removed", "n_spans")), F.coalesce("digest.kept_sha256", "sha").alias("kept_sha256"))
 
 
-def drop_repeats(docs: DataFrame, length: int = LENGTH, words: int = WORDS) -> DataFrame:
+def drop_repeats(docs: DataFrame, length: int = LENGTH, words: int = WORDS, **options) -> DataFrame:
     """``docs`` with repeated passages of ``words`` words or ``length`` bytes taken out of text (parts of characters go too) and n_chars, if there, counted
     anew. Null texts become empty.
 
@@ -360,22 +428,29 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, words: int = WORDS) -> D
     """
     least = min(length - WIDE + 1, words * (WIDE + 1) - 1)
 
-    @F.pandas_udf("binary")
-    def wide(text: pd.Series) -> pd.Series:
-        return pd.Series([widen(b"" if t is None else bytes(t)) for t in text], dtype=object)
-
     @F.pandas_udf("string")
     def cut(packed: pd.Series, spans: pd.Series) -> pd.Series:
         unpack, kept = zstandard.ZstdDecompressor(), []
         for t, s in zip(packed, spans, strict=True):
             t = unpack.decompress(t)
-            runs = long_runs(t, [(x["_a"], x["_b"]) for x in s], least, words) if s is not None else []
-            kept.append(narrow(_cut(t, runs)[0]).decode("utf-8", "ignore"))
+            runs = long_runs(t, [(x["a"], x["b"]) for x in s], least, words)
+            kept.append(narrow(_cut(t, runs)[0]).decode("utf-8", "ignore") if runs else None)
         return pd.Series(kept, dtype=object)
 
-    scratch.small_batches(docs.sparkSession)
-    found = find_repeats(docs.withColumn("text", wide(F.col("text").cast("binary"))), least, gram=max(1, least // 4))
-    out = found.withColumn("text", cut("_text", "_spans"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    spark = docs.sparkSession
+    key = scratch.fresh(docs, "digest")
+    texts, spans = find_repeats(docs, least, gram=max(1, least // 4), prepare=widen, **options)
+    part = texts.where("copies = 1").join(spans, "digest").select(F.col("digest").alias(key), cut("packed", "spans").alias("kept")).where("kept IS NOT NULL")
+
+    @F.pandas_udf("boolean")
+    def gone(packed: pd.Series) -> pd.Series:
+        whole = [zstandard.ZstdDecompressor().decompress(t) for t in packed]
+        return pd.Series([bool(long_runs(t, [(0, len(t))], least, words)) for t in whole])
+
+    # A text with copies is one repeat as a whole; below both lengths it stays.
+    cuts = scratch.table(part.unionByName(texts.where("copies > 1").where(gone("packed")).select(F.col("digest").alias(key), F.lit("").alias("kept"))), "cuts")
+    scratch.drop(texts, spans)
+    rows = join_texts(docs.withColumn(key, text_key(docs["text"].cast("binary"))), key, cuts, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
+    text = F.coalesce(F.col(key)["kept"], rows["text"].cast("string"), F.lit(""))
+    given = [text.alias("text") if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else rows[scratch.quoted(c)] for c in docs.columns]
+    return rows.select(*given)

@@ -41,20 +41,37 @@ def test_mix(docs):
 
 
 def test_suffix(docs):
-    def brute(texts, n):
-        from collections import Counter
-
-        seen = Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
-        for t in texts:
-            kept, removed, runs = suffix._cut(t, [(i, i + n) for i in range(len(t) - n + 1) if seen[t[i : i + n]] > 1])
-            yield len(t), removed, runs, hashlib.sha256(kept).hexdigest()
-
     texts = texts_of(docs)
-    want = sorted((str(i), *b) for (i, _), b in zip(texts, brute([t for _, t in texts], 40)))
+    want = sorted((str(i), *b) for (i, _), b in zip(texts, brute_repeats([t for _, t in texts], 40)))
     got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.repeats_digest(docs, 40).collect())
     assert got == want
 
 
+def brute_repeats(texts, n):
+    from collections import Counter
+
+    seen = Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
+    for t in texts:
+        kept, removed, runs = suffix._cut(t, [(i, i + n) for i in range(len(t) - n + 1) if seen[t[i : i + n]] > 1])
+        yield len(t), removed, runs, hashlib.sha256(kept).hexdigest()
+
+
+@pytest.mark.parametrize(("length", "max_group"), [(40, 2), (41, 5), (400, 3), (400, 16_384)])
+def test_suffix_with_common_passages(spark, length, max_group):
+    """Passages that every text has, whole or in part and in different surroundings, periodic texts and copies: groups of contexts that must be split."""
+    rnd = random.Random(length)
+    say = lambda n: "".join(rnd.choice("abcd é") for _ in range(n))
+    common, line = say(2 * length), say(length // 3)
+    texts = [None, "", "short", "short"]
+    for k in range(40):
+        a = rnd.randint(0, length)
+        texts.append(say(rnd.randint(0, 2 * length)) + common[a : a + rnd.randint(length // 2, 2 * length)] + say(rnd.randint(0, length)) + line * rnd.choice([0, 1, 9]))
+    texts += [texts[5], texts[5], line * 40, "x" * (3 * length)]
+    frame = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, digest int")
+    want = [(i, *b) for i, b in enumerate(brute_repeats([(t or "").encode() for t in texts], length))]
+    assert sorted(map(tuple, suffix.repeats_digest(frame, length, max_group=max_group).collect())) == want
+
+
 def test_drop_repeats_by_words(spark):
     """Passages of 51 words go whatever their bytes, in any surroundings, as do strings of 400 bytes without words; those of 45 words stay."""
     rnd = random.Random(3)
