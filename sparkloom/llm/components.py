@@ -22,13 +22,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """node, root (the smallest node reachable) of every node of ``edges`` (u, v). Each round is written to the shared folder."""
+    """node, root (the smallest node reachable) of every node of ``edges`` (u, v). Each round is written to the shared folder, and the one before deleted."""
     edges = scratch.table(edges.where("u <> v").select("u", "v").distinct(), "edges")
     mark = None
     for _ in range(rounds):
-        edges = scratch.table(_star(_star(edges, True), False), "edges")
+        last, edges = edges, scratch.table(_star(_star(edges, True), False), "edges")
+        scratch.drop(last)
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if now == mark:
+        if now == mark or now.n == 0:
             break
         mark = now
     else:

@@ -6,7 +6,8 @@ round each view, calibrated on held-out labels, hands its most confident pseudo-
 The calibrated views are then combined by a small regression on the held-out labels, so a view that says nothing weighs nothing,
 and all documents are scored. A document is good if its quality is 1 and it isn't toxic.
 
-Training takes bounded samples, ``max_labelled`` labelled and ``max_pool`` unlabelled documents of lowest hash; scoring reads every whole text.
+Training takes bounded samples, ``max_labelled`` labelled and ``max_pool`` unlabelled documents of lowest hash, in one task; scoring reads every whole text,
+however long.
 
 Defined results: null or empty text has only its statistics; missing metadata is a value of its own; without labels of both kinds every
 document gets the score 1, or 0 where all labels are bad. Labels that repeat a doc_id count as the worst of them. Repeated rows are scored alike;
@@ -16,8 +17,9 @@ extra columns are ignored.
 from __future__ import annotations
 
 import math
+import pickle
 import zlib
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -118,11 +120,26 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 30)
     return np.append(w[:-1] / scale, w[-1])
 
 
-def co_train(labelled: list[tuple], y: np.ndarray, pool: list[tuple], rounds: int = 2, sure: float = 0.97, most: int = 400) -> Callable:
-    """A function of (text ids, meta ids) lists giving text score, meta score and combined score."""
+class Model:
+    """Scores of (text ids, meta ids) lists: by text, by metadata, and combined."""
+
+    def __init__(self, views: dict | None = None, mix: np.ndarray | None = None, always: float | None = None):
+        self.views, self.mix, self.always = views, mix, always
+
+    def __call__(self, text, meta) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self.always is not None:
+            return tuple(np.full(len(text), self.always) for _ in range(3))
+        x = np.empty((len(text), 2))
+        for i, rows in enumerate((text, meta)):
+            w, b, scale, shift = self.views[("text", "meta")[i]]
+            x[:, i] = np.clip(np.array([float(w[r].sum()) + b for r in rows]) * scale + shift, -30, 30)
+        return (*(1 / (1 + np.exp(-x.T))), 1 / (1 + np.exp(-np.clip(x @ self.mix[:-1] + self.mix[-1], -30, 30))))
+
+
+def co_train(labelled: list[tuple], y: np.ndarray, pool: list[tuple], rounds: int = 2, sure: float = 0.97, most: int = 400) -> Model:
+    """In each of ``rounds``, each view gives the other at most ``most`` pseudo-labels a kind, those that it is ``sure`` of."""
     if not len(y) or y.min() == y.max():
-        always = float(y[0]) if len(y) else 1.0
-        return lambda text, meta: tuple(np.full(len(text), always) for _ in range(3))
+        return Model(always=float(y[0]) if len(y) else 1.0)
     held = np.arange(len(y)) % 4 == 3
     if y[held].min() == y[held].max() or y[~held].min() == y[~held].max():
         held = np.zeros(len(y), bool)
@@ -153,11 +170,7 @@ def co_train(labelled: list[tuple], y: np.ndarray, pool: list[tuple], rounds: in
     both = np.column_stack([views[n].logit([r for r, t in zip(rows[n], test, strict=True) if t]) for n in names])
     mix = logistic(both, y[test])
 
-    def score(text, meta):
-        x = np.column_stack([views["text"].logit(text), views["meta"].logit(meta)])
-        return (*(1 / (1 + np.exp(-x.T))), 1 / (1 + np.exp(-np.clip(x @ mix[:-1] + mix[-1], -30, 30))))
-
-    return score
+    return Model({n: (v.w, v.b, v.scale, v.shift) for n, v in views.items()}, mix)
 
 
 def _lowest(ids: DataFrame, most: int, seed: int) -> DataFrame:
@@ -167,31 +180,37 @@ def _lowest(ids: DataFrame, most: int, seed: int) -> DataFrame:
     return ids.where(key < int((1 << 30) * min(1.0, 1.5 * most / max(1, n) + 1e-6)) + 1).orderBy(key, "doc_id").limit(most)
 
 
-def classifier(docs: DataFrame, labels: DataFrame, max_labelled: int = 6_000, max_pool: int = 3_000) -> Callable:
+def classifier(docs: DataFrame, labels: DataFrame, max_labelled: int = 6_000, max_pool: int = 3_000) -> Model:
+    """Trained in one task on the bounded sample, so that the driver gets the finished model alone."""
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
     marks = marks.select("doc_id", F.when((F.col("q") >= 1) & (F.col("t") < 1), 1.0).otherwise(0.0).alias("y"))
     own = docs.select("doc_id").where("doc_id IS NOT NULL").distinct()
     known = _lowest(marks.join(own, "doc_id", "left_semi"), max_labelled, 1)
     unknown = _lowest(own.join(marks, "doc_id", "left_anti"), max_pool, 2).withColumn("y", F.lit(-1.0))
-    chosen = known.unionByName(unknown)
+    chosen = known.unionByName(unknown).withColumnsRenamed({"doc_id": "id"})
 
     @F.pandas_udf("struct<text: array<int>, meta: array<int>>")
     def features(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
         return pd.DataFrame({"text": [text_features(t) for t in text], "meta": [meta_features(*m) for m in zip(lang, source, n_chars, strict=True)]})
 
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", features(*_columns(docs)).alias("f")).select("doc_id", "y", "f.*").toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
-    pairs = [(np.asarray(t, np.int32), np.asarray(m, np.int32)) for t, m in zip(rows.text, rows.meta, strict=True)]
-    y = rows.y.to_numpy()
-    return co_train([p for p, v in zip(pairs, y, strict=True) if v >= 0], y[y >= 0], [p for p, v in zip(pairs, y, strict=True) if v < 0])
+    def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([*batches, pd.DataFrame({"id": [], "y": [], "text": [], "meta": []})]).sort_values("id")
+        pairs = [(np.asarray(t, np.int32), np.asarray(m, np.int32)) for t, m in zip(rows.text, rows.meta, strict=True)]
+        y = rows.y.to_numpy(float)
+        model = co_train([p for p, v in zip(pairs, y, strict=True) if v >= 0], y[y >= 0], [p for p, v in zip(pairs, y, strict=True) if v < 0])
+        yield pd.DataFrame({"model": [pickle.dumps((model.views, model.mix, model.always))]})
+
+    rows = docs.select(F.col("doc_id").alias("id"), *_columns(docs)).join(F.broadcast(chosen), "id").select("id", "y", features("text", "lang", "source", "n_chars").alias("f"))
+    rows = rows.groupBy("id", "y").agg(F.min("f").alias("f")).select(F.col("id").cast("string").alias("id"), "y", "f.*")
+    return Model(*pickle.loads(rows.repartition(1).mapInPandas(train, "model binary").first().model))
 
 
 def _columns(docs: DataFrame) -> list:
-    have = lambda c, kind: F.col(c).cast(kind) if c in docs.columns else F.lit(None).cast(kind)
-    return [F.col("text").cast("binary"), have("lang", "string"), have("source", "string"), have("n_chars", "double")]
+    have = lambda c, kind: (F.col(c) if c in docs.columns else F.lit(None)).cast(kind).alias(c)
+    return [have("text", "binary"), have("lang", "string"), have("source", "string"), have("n_chars", "double")]
 
 
-def _scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def _scores(docs: DataFrame, labels: DataFrame, name: str, **options) -> DataFrame:
     scratch.small_batches(docs.sparkSession)
     model = classifier(docs, labels, **options)
 
@@ -200,13 +219,17 @@ def _scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
         t, m, s = model([text_features(x) for x in text], [meta_features(*x) for x in zip(lang, source, n_chars, strict=True)])
         return pd.DataFrame({"text_score": t, "meta_score": m, "score": s})
 
-    return docs.withColumn("_q", score(*_columns(docs)))
+    return docs.withColumn(name, score(*_columns(docs)))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, text_score, meta_score, score (each a probability of good) and keep of every document."""
-    return _scores(docs, labels, **options).select("doc_id", "_q.text_score", "_q.meta_score", "_q.score", (F.col("_q.score") >= 0.5).alias("keep"))
+    name = scratch.fresh(docs, "scores")
+    q = _scores(docs, labels, name, **options).select("doc_id", F.col(name).alias("q"))
+    return q.select("doc_id", "q.text_score", "q.meta_score", "q.score", (F.col("q.score") >= 0.5).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    return _scores(docs, labels, **options).where("_q.score >= 0.5").drop("_q")
+    """``docs`` less those of a score under 0.5; its columns pass through, whatever their names."""
+    name = scratch.fresh(docs, "scores")
+    return _scores(docs, labels, name, **options).where(F.col(name)["score"] >= 0.5).drop(name)

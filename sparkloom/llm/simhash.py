@@ -8,7 +8,8 @@ Distances are verified inside the key groups, whose links go out as a spanning f
 on distinct fingerprints, so exact copies cost one row.
 
 Defined results: null or empty text has no words and fingerprint zero, linked like any other; null doc_ids are ignored in
-the smallest id of a component; repeated rows stay; extra columns are ignored.
+the smallest id of a component; repeated rows stay; very long texts are hashed whole; extra columns are ignored, or kept by ``drop_near_duplicates``,
+which keeps one of repeated rows. There, null texts and those of white space alone are copies of the empty text.
 
 The pipeline's ``drop_near_duplicates`` links by the Jaccard similarity of shingles, which fingerprints don't follow closely enough (an added
 passage moves many bits), so its keys are bands of least hashes of the shingles themselves.
@@ -16,7 +17,6 @@ passage moves many bits), so its keys are bands of least hashes of the shingles
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -349,18 +349,11 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     that are apart, all of these are compared under it by their shingles, or samples of them where there are over ``SAMPLE``, and verified
     if these allow the similarity; pairs of texts that are joined already are never made.
     """
-    spark = docs.sparkSession
-    scratch.small_batches(spark)
+    scratch.small_batches(docs.sparkSession)
 
-    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ids, texts, keys_ = [], [], []
-            for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
-                words = words_of(text)
-                ids.append(doc_id)
-                texts.append(hashlib.md5(b" ".join(words)).hexdigest())
-                keys_.append(band_keys(shingle_hashes(words, shingle)))
-            yield pd.DataFrame({"doc_id": ids, "tid": texts, "keys": keys_})
+    @F.pandas_udf("array<long>")
+    def marked(text: pd.Series) -> pd.Series:
+        return pd.Series([band_keys(shingle_hashes(words_of(t), shingle)) for t in text])
 
     @F.pandas_udf("array<long>")
     def shingles(text: pd.Series) -> pd.Series:
@@ -371,19 +364,19 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
         found = [(x, *sample(np.asarray(x, np.int64))) for x in s]
         return pd.DataFrame([(lv, h if lv else np.asarray(x, np.int64).tobytes()) for x, lv, h in found], columns=["level", "sample"])
 
-    @F.pandas_udf("string")
-    def text_id(text: pd.Series) -> pd.Series:
-        return pd.Series([hashlib.md5(b" ".join(words_of(t))).hexdigest() for t in text])
-
-    slim = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    marks = scratch.table(slim.mapInPandas(mark, "doc_id string, tid string, keys array<long>").withColumn("doc_id", F.col("doc_id").cast("long")), "marks")
+    tid = F.md5(F.coalesce(F.btrim(docs["text"].cast("string"), F.lit(" \t\n\x0b\x0c\r")), F.lit("")).cast("binary"))
+    text = docs["text"].cast("binary")
+    marks = scratch.table(docs.select("doc_id", tid.alias("tid"), marked(text).alias("keys")), "marks")
     texts = scratch.table(marks.groupBy("tid").agg(F.min("doc_id").alias("least"), F.any_value("keys").alias("keys")), "texts")
+    marks = marks.select("doc_id", "tid")
     keyed = texts.select("tid", F.posexplode("keys").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("tid").alias("head")).where("n > 1").select("key", "head")
     member = scratch.table(keyed.join(shared, "key"), "keys")
     pairs = member.where((F.col("band") < EARLY) & (F.col("tid") != F.col("head"))).select(F.col("head").alias("tu"), F.col("tid").alias("tv")).distinct()
-    wanted = member.select("tid").distinct()
-    sets = docs.select(F.col("text").cast("binary").alias("text")).withColumn("tid", text_id("text")).join(wanted, "tid", "left_semi")
+    wanted = member.select("tid").distinct().join(texts.select("tid", "least"), "tid")
+    # One row of each wanted text, found by its doc_id too, so that the rows of a text with many copies don't meet in a task.
+    sets = docs.select(F.col("doc_id").alias("least"), tid.alias("tid"), text.alias("text"))
+    sets = sets.join(wanted, (sets.tid == wanted.tid) & sets.least.eqNullSafe(wanted.least), "left_semi")
     sets = scratch.table(sets.dropDuplicates(["tid"]).select("tid", F.monotonically_increasing_id().alias("sid"), shingles("text").alias("s")), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -402,22 +395,26 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     linked = scratch.table(verified(pairs), "linked")
     placed = scratch.table(place(linked), "placed")
     open_ = scratch.table(apart(member.select("tid", "key").join(placed.select("tid", "root"), "tid")), "apart")
+    scratch.drop(member)
     some = sets.join(open_.select("tid").distinct(), "tid", "left_semi")
     # A shingle that no other of these texts has is in no intersection.
     alone = some.select("sid", F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("sid")).where("n = 1").groupBy("sid").agg(F.count(F.lit(1)).alias("alone"))
     some = some.join(alone, "sid", "left").where(F.size("s") - F.coalesce("alone", F.lit(0)) >= similarity * F.size("s"))
     some = scratch.table(some.select("tid", F.size("s").alias("size"), sampled("s").alias("m")).select("tid", "size", "m.*"), "samples")
-    open_ = scratch.table(apart(open_.join(some.select("tid"), "tid", "left_semi")), "open")
-    if open_.limit(1).count():
-        more = verified(scratch.table(links_between(open_.join(some, "tid"), similarity), "pairs"))
+    left = scratch.table(apart(open_.join(some.select("tid"), "tid", "left_semi")), "open")
+    scratch.drop(open_)
+    if left.limit(1).count():
+        more = verified(scratch.table(links_between(left.join(some, "tid"), similarity), "pairs"))
         placed = place(linked.unionByName(more))
     winners = placed.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "tid")).alias("w")).select("w.least", "w.tid")
     # A text's rows of the winning doc_id; usually one each.
     chosen = marks.join(winners, (marks.tid == winners.tid) & marks.doc_id.eqNullSafe(winners.least), "left_semi").groupBy("doc_id", "tid").agg(F.count(F.lit(1)).alias("n"))
-    chosen = scratch.table(chosen, "chosen").select(F.col("doc_id").alias("_d"), F.col("tid").alias("_t"), "n")
-    tagged = docs.withColumn("_tid", text_id(F.col("text").cast("binary")))
-    fits = (F.col("_tid") == F.col("_t")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_d"))
+    id_, key = scratch.fresh(docs, "id"), scratch.fresh(docs, "tid")
+    chosen = scratch.table(chosen.select(F.col("doc_id").alias(id_), F.col("tid").alias(f"{key}_"), "n"), "chosen")
+    scratch.drop(texts, sets, linked, some, left)
+    tagged = docs.withColumn(key, tid)
+    fits = (tagged[key] == chosen[f"{key}_"]) & tagged["doc_id"].eqNullSafe(chosen[id_])
     kept = tagged.join(chosen.where("n = 1"), fits, "left_semi")
     if chosen.where("n > 1").limit(1).count():
-        kept = kept.unionByName(tagged.join(chosen.where("n > 1"), fits, "left_semi").dropDuplicates(["doc_id", "_tid"]))
-    return kept.drop("_tid")
+        kept = kept.unionByName(tagged.join(chosen.where("n > 1"), fits, "left_semi").dropDuplicates(["doc_id", key]))
+    return kept.drop(key)
