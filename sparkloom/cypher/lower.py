@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.cypher.parser import Call, CypherError, Item, Match, Node, Parser, Path, Project, Rel, Unwind
+from sparkloom.cypher.parser import Call, Change, Create, CypherError, Delete, Item, Match, Merge, Node, Parser, Path, Project, Rel, Unwind
 from sparkloom.functions import AGGREGATES, SCALARS, TEMPORAL, aggregate
+from sparkloom.functions.temporal import TYPED, duration, duration_part, temporal_arithmetic
 from sparkloom.graph import PropertyGraph, union
 from sparkloom.plans.lineage import cut
 
@@ -45,6 +46,18 @@ def _children(e) -> list:
     return [x for x in e[1:] if isinstance(x, tuple) and x and isinstance(x[0], str)] + [y for x in e[1:] if isinstance(x, list) for y in x if isinstance(y, tuple)]
 
 
+FAMILIES = ((T.NumericType, "number"), (T.StringType, "string"), (T.BooleanType, "boolean"), (T.ArrayType, "list"), (T.StructType, "map"), ((T.DateType, T.TimestampType, T.TimestampNTZType), "time"))
+
+
+def family(kind: T.DataType) -> str | None:
+    """The family of values within which equality can hold; None for null."""
+    return next((name for types, name in FAMILIES if isinstance(kind, types)), None)
+
+
+def unlike(a: T.DataType | None = None, b: T.DataType | None = None) -> bool:
+    return None not in (a, b) and None not in (family(a), family(b)) and family(a) != family(b)
+
+
 class Lowering:
     def __init__(self, graph: PropertyGraph, params: dict, procedures: dict[str, Procedure], max_hops: int = 30):
         self.graph, self.params, self.procedures, self.max_hops, self.ids = graph, params, procedures, max_hops, count()
@@ -64,6 +77,16 @@ class Lowering:
     def kind(self, df: DataFrame, c: Column) -> T.DataType:
         return df.select(c.alias("_t")).schema[0].dataType
 
+    def kind_of(self, e: tuple, df: DataFrame, local: dict) -> T.DataType:
+        """The type of an expression; the lambda variables in ``local`` (name: column, type) stand as typed nulls."""
+        return self.kind(df, self.expr(e, df, {k: (F.lit(None).cast(t), t) for k, (_, t) in local.items()}))
+
+    def element(self, e: tuple, df: DataFrame, local: dict) -> T.DataType:
+        kind = self.kind_of(e, df, local)
+        if not isinstance(kind, (T.ArrayType, T.NullType)):
+            raise CypherError("a list is needed here")
+        return kind.elementType if isinstance(kind, T.ArrayType) else kind
+
     def expr(self, e: tuple, df: DataFrame, local: dict | None = None) -> Column:
         local = local or {}
         go = lambda x: self.expr(x, df, local)
@@ -78,7 +101,7 @@ class Lowering:
             return F.col(e[1])
         if op == "var":
             if e[1] in local:
-                return local[e[1]]
+                return local[e[1]][0]
             if e[1] not in df.columns:
                 raise CypherError(f"variable {e[1]} is not defined")
             return F.col(f"`{e[1]}`")
@@ -93,12 +116,17 @@ class Lowering:
         if op in COMPARE:
             return self.compare(op, e[1], e[2], df, local)
         if op == "=~":
-            return go(e[1]).rlike("^(?:" + str(e[2][1] if e[2][0] == "lit" else self.params[e[2][1]]) + ")$")
+            return F.rlike(go(e[1]), F.concat(F.lit("^(?:"), go(e[2]), F.lit(")$")))
         if op in ("isnull", "notnull"):
             return go(e[1]).isNull() if op == "isnull" else go(e[1]).isNotNull()
         if op == "in":
             if e[2][0] == "list" and all(x[0] == "lit" for x in e[2][1]):
-                return go(e[1]).isin(*(x[1] for x in e[2][1])) if e[2][1] else F.lit(False)
+                own = family(self.kind_of(e[1], df, local))
+                fits = [x[1] for x in e[2][1] if own in (None, family(self.kind(df, self.literal(x[1])))) or x[1] is None]
+                other = F.when(go(e[1]).isNotNull(), False)
+                return go(e[1]).isin(*fits) if fits else other if e[2][1] else F.lit(False)
+            if family(self.element(e[2], df, local)) not in (None, family(self.kind_of(e[1], df, local))):
+                return F.when(go(e[1]).isNotNull() & go(e[2]).isNotNull(), False)
             return F.array_contains(go(e[2]), go(e[1]))
         if op in ("starts", "ends", "contains"):
             return {"starts": Column.startswith, "ends": Column.endswith, "contains": Column.contains}[op](go(e[1]), go(e[2]))
@@ -110,7 +138,7 @@ class Lowering:
             return F.struct(*(go(v).alias(k) for k, v in e[1]))
         if op == "index":
             base, i = go(e[1]), go(e[2])
-            if isinstance(self.kind(df, base), T.ArrayType) if not local else True:
+            if isinstance(self.kind_of(e[1], df, local), T.ArrayType):
                 return F.get(base, F.when(i < 0, F.size(base) + i).otherwise(i).cast("int"))
             return base.getField(e[2][1])
         if op == "slice":
@@ -119,7 +147,7 @@ class Lowering:
             low, high = edge(e[2], F.lit(0)), edge(e[3], F.size(xs))
             return F.slice(xs, (low + 1).cast("int"), F.greatest(high - low, F.lit(0)).cast("int"))
         if op == "haslabel":
-            base, names = go(e[1]), self.kind(df, go(e[1])).names
+            base, names = go(e[1]), self.kind_of(e[1], df, local).names
             if "rel_type" in names:
                 return base.getField("rel_type").isin(*e[2])
             out = F.array_contains(base.getField("labels"), e[2][0])
@@ -134,46 +162,49 @@ class Lowering:
             return out if e[3] is None else out.otherwise(go(e[3]))
         if op == "listcomp":
             _, var, source, where, out = e
-            xs = go(source)
+            xs, kind = go(source), self.element(source, df, local)
             if where is not None:
-                xs = F.filter(xs, lambda x: self.expr(where, df, {**local, var: x}))
-            return xs if out is None else F.transform(xs, lambda x: self.expr(out, df, {**local, var: x}))
+                xs = F.filter(xs, lambda x: self.expr(where, df, {**local, var: (x, kind)}))
+            return xs if out is None else F.transform(xs, lambda x: self.expr(out, df, {**local, var: (x, kind)}))
         if op == "quant":
             _, form, var, source, where = e
-            test = lambda x: self.expr(where, df, {**local, var: x})
+            kind = self.element(source, df, local)
+            test = lambda x: self.expr(where, df, {**local, var: (x, kind)}).cast("boolean")
             xs = go(source)
             if form == "single":
-                return F.size(F.filter(xs, test)) == 1
+                sure = F.size(F.filter(xs, test))
+                return F.when(xs.isNull(), None).when(sure > 1, False).when(F.exists(xs, lambda x: test(x).isNull()), None).otherwise(sure == 1)
             return F.forall(xs, test) if form == "all" else F.exists(xs, test) if form == "any" else ~F.exists(xs, test)
         if op == "reduce":
             _, acc, first, var, source, step = e
-            start = go(first)
-            return F.aggregate(go(source), start, lambda a, x: self.expr(step, df, {**local, acc: a, var: x}).cast(self.kind(df, start)))
+            start, kind, each = go(first), self.kind_of(first, df, local), self.element(source, df, local)
+            return F.aggregate(go(source), start, lambda a, x: self.expr(step, df, {**local, acc: (a, kind), var: (x, each)}).cast(kind))
         if op == "call":
             return self.call(e, df, local)
         raise CypherError(f"unsupported expression {op}")
 
     def prop(self, e: tuple, df: DataFrame, local: dict) -> Column:
         base, name = self.expr(e[1], df, local), e[2]
-        if e[1][0] == "var" and e[1][1] not in local:
-            kind = df.schema[e[1][1]].dataType
-        elif not local:
-            kind = self.kind(df, base)
-        else:
-            return base.getField(name)
+        kind = df.schema[e[1][1]].dataType if e[1][0] == "var" and e[1][1] not in local else self.kind_of(e[1], df, local)
         if isinstance(kind, T.StructType):
+            if name not in kind.names and duration(kind):
+                return duration_part(base, name)
             return base.getField(name) if name in kind.names else F.lit(None)
         if name in TEMPORAL and isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
             return TEMPORAL[name](base)
+        if isinstance(kind, T.NullType):
+            return F.lit(None)
         raise CypherError(f"no property {name} here")
 
     def compare(self, op: str, left: tuple, right: tuple, df: DataFrame, local: dict) -> Column:
         a, b = self.expr(left, df, local), self.expr(right, df, local)
-        kinds = [self.kind(df, x) if not local else None for x in (a, b)]
+        kinds = [self.kind_of(x, df, local) for x in (left, right)]
         if all(isinstance(k, T.StructType) and "labels" in k.names for k in kinds):
             a, b, kinds = a.getField("id"), b.getField("id"), []
         elif all(isinstance(k, T.StructType) and "eid" in k.names for k in kinds):
             a, b, kinds = F.struct(a.getField("rel_type"), a.getField("eid")), F.struct(b.getField("rel_type"), b.getField("eid")), []
+        elif unlike(*kinds):  # values of different families are unequal, and have no order
+            return F.when(a.isNotNull() & b.isNotNull(), op == "<>") if op in ("=", "<>") else F.lit(None).cast("boolean")
         out = {"=": a == b, "<>": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
         for side, x, k in zip((left, right), (a, b), kinds):  # NaN equals nothing and has no order
             if isinstance(k, (T.DoubleType, T.FloatType)) and side[0] != "lit":
@@ -187,17 +218,22 @@ class Lowering:
         b = self.expr(e[2], df, local)
         if op == "^":
             return F.pow(a.cast("double"), b.cast("double"))
+        ka, kb = self.kind_of(e[1], df, local), self.kind_of(e[2], df, local)
+        found = temporal_arithmetic(op, a, ka, b, kb)
+        if found is not None:
+            return found
         if op in "*-%":
             return a * b if op == "*" else a - b if op == "-" else a % b
-        ka, kb = (None, None) if local else (self.kind(df, a), self.kind(df, b))
         if op == "/":
             whole = (T.LongType, T.IntegerType, T.ShortType)
             return F.call_function("div", a, b) if isinstance(ka, whole) and isinstance(kb, whole) else a / b
-        if isinstance(ka, T.StringType) or isinstance(kb, T.StringType):
-            return F.concat(a.cast("string"), b.cast("string"))
         if isinstance(ka, T.ArrayType):
             return F.concat(a, b) if isinstance(kb, T.ArrayType) else F.array_append(a, b)
-        return F.array_prepend(b, a) if isinstance(kb, T.ArrayType) else a + b
+        if isinstance(kb, T.ArrayType):
+            return F.array_prepend(b, a)
+        if isinstance(ka, T.StringType) or isinstance(kb, T.StringType):
+            return F.concat(a.cast("string"), b.cast("string"))
+        return a + b
 
     def call(self, e: tuple, df: DataFrame, local: dict) -> Column:
         _, name, distinct, args = e
@@ -206,7 +242,7 @@ class Lowering:
         got = [self.expr(x, df, local) for x in args]
         field = {"id": "id", "labels": "labels", "type": "rel_type", "nodes": "nodes", "relationships": "rels"}
         if name in ("id", "elementid"):
-            names = self.kind(df, got[0]).names
+            names = self.kind_of(args[0], df, local).names
             out = got[0].getField("eid" if "eid" in names else "id")
             return out.cast("string") if name == "elementid" else out
         if name in field:
@@ -218,19 +254,66 @@ class Lowering:
         if name == "exists":
             return got[0].isNotNull()
         if name == "size":
-            text = not local and isinstance(self.kind(df, got[0]), T.StringType)
+            text = isinstance(self.kind_of(args[0], df, local), T.StringType)
             return (F.length(got[0]) if text else F.size(got[0])).cast("long")
         if name in ("properties", "keys"):
             hidden = {"id", "labels", "eid", "src", "dst", "rel_type"}
-            names = [n for n in self.kind(df, got[0]).names if n not in hidden]
+            names = [n for n in self.kind_of(args[0], df, local).names if n not in hidden]
             if name == "properties":
                 return F.struct(*(got[0].getField(n).alias(n) for n in names))
             return F.array_compact(F.array(*(F.when(got[0].getField(n).isNotNull(), n) for n in names)))
         if name == "point":
             return got[0]
+        if name in TYPED:
+            return TYPED[name](*got, kinds=[self.kind_of(x, df, local) for x in args])
         if name not in SCALARS:
             raise CypherError(f"unknown function {name}")
-        return SCALARS[name](*got)
+        try:
+            return SCALARS[name](*got)
+        except TypeError as bad:
+            raise CypherError(f"{name} doesn't take {len(got)} arguments") from bad
+
+    # Subqueries: what they share with the outer rows are keys of the data, never numbers of rows, which another evaluation could give anew.
+
+    def names_in(self, x) -> set[str]:
+        if isinstance(x, (Node, Rel, Path, Match)):
+            return ({x.var} if not isinstance(x, Match) and x.var else set()) | {n for y in vars(x).values() for n in self.names_in(y)}
+        if isinstance(x, tuple) and len(x) == 2 and x[0] == "var":
+            return {x[1]}
+        return {n for y in x for n in self.names_in(y)} if isinstance(x, (tuple, list)) else set()
+
+    def keys(self, df: DataFrame, names: list[str]) -> dict[str, Column]:
+        out = {}
+        for n in names:
+            kind, c = df.schema[n].dataType, F.col(f"`{n}`")
+            fields = kind.names if isinstance(kind, T.StructType) else []
+            out[f"_k_{n}"] = F.struct(c.rel_type, c.eid) if "eid" in fields else c.id if "id" in fields else c
+        return out
+
+    def correlated(self, df: DataFrame, m: Match, more=None, unique: bool = True) -> tuple[DataFrame, list[str]]:
+        """The matches of ``m`` for what it shares with ``df``, and the columns of their keys."""
+        names = sorted(n for n in self.names_in(m) | self.names_in(more) if n in df.columns)
+        if not names:
+            return self.match(df.sparkSession.range(1).select(F.lit(1).alias("_one")), m), []
+        keys = self.keys(df, names)
+        base = df.select(*(f"`{n}`" for n in names)).withColumns(keys)
+        return self.match(base.dropDuplicates(list(keys)) if unique else base, m), list(keys)
+
+    def on_keys(self, df: DataFrame, found: DataFrame, keys: list[str], how: str) -> DataFrame:
+        if not keys:
+            return df.join(found, F.lit(True), how)
+        mine = self.keys(df, [k.removeprefix("_k_") for k in keys])
+        renamed = found.withColumnsRenamed({k: f"{k}_" for k in keys})
+        on = [mine[k].eqNullSafe(F.col(f"`{k}_`")) for k in keys]
+        return df.join(renamed, on, how).drop(*(f"{k}_" for k in keys))
+
+    def path_nodes(self, df: DataFrame, var: str) -> tuple[DataFrame, tuple]:
+        """A column with a path's nodes and their properties."""
+        out = self.fresh("nodes")
+        ids = df.select(F.col(var).nodes.alias("_ids")).distinct()
+        each = ids.select("_ids", F.posexplode("_ids").alias("_pos", "_at")).join(self.entity(self.graph.node_frame(), "_node"), F.col("_at") == F.col("_node.id"))
+        got = each.groupBy("_ids").agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_node")), lambda x, y: x._pos - y._pos), lambda x: x._node).alias(out))
+        return df.withColumn("_own", F.col(var).nodes).join(got, F.col("_own") == F.col("_ids"), "left").drop("_own", "_ids"), ("col", out)
 
     # Pattern predicates inside expressions
 
@@ -240,17 +323,23 @@ class Lowering:
             return df, e
         if e[0] in ("pattern", "exists", "countsub", "patterncomp"):
             m = Match([e[1]], e[2] if e[0] == "patterncomp" else None) if e[0] in ("pattern", "patterncomp") else e[1]
-            row, out = self.fresh("row"), self.fresh("sub")
-            base = df.withColumn(row, F.monotonically_increasing_id())
-            found = self.match(base, m)
+            out = self.fresh("sub")
+            found, keys = self.correlated(df, m, e[3] if e[0] == "patterncomp" else None)
             if e[0] == "patterncomp":
                 found, value = self.prepare(found, e[3])
-                got = found.groupBy(row).agg(F.array_sort(F.collect_list(self.expr(value, found))).alias(out))
+                got = found.groupBy(*keys).agg(F.array_sort(F.collect_list(self.expr(value, found))).alias(out))
                 empty = F.array().cast(got.schema[out].dataType)
             else:
-                got, empty = found.groupBy(row).agg(F.count(F.lit(1)).alias(out)), F.lit(0)
-            df = base.join(got, row, "left").withColumn(out, F.coalesce(out, empty)).drop(row)
+                got, empty = found.groupBy(*keys).agg(F.count(F.lit(1)).alias(out)), F.lit(0)
+            df = self.on_keys(df, got, keys, "left").withColumn(out, F.coalesce(out, empty))
             return df, ("col", out) if e[0] in ("patterncomp", "countsub") else (">", ("col", out), ("lit", 0))
+        if e[0] == "call" and e[1] in ("startnode", "endnode") and e[3][0][0] == "var" and e[3][0][1] in df.columns:
+            out, end = self.fresh("end"), F.col(f"`{e[3][0][1]}`").getField("src" if e[1] == "startnode" else "dst")
+            return df.withColumn("_at", end).join(self.entity(self.graph.node_frame(), out), F.col("_at") == F.col(out).id, "left").drop("_at"), ("col", out)
+        if e[0] == "call" and e[1] == "size" and e[3][0][0] == "call" and e[3][0][1] == "nodes":
+            return df, e
+        if e[0] == "call" and e[1] == "nodes" and e[3][0][0] == "var" and e[3][0][1] in df.columns:
+            return self.path_nodes(df, f"`{e[3][0][1]}`")
         out = []
         for x in e:
             if isinstance(x, tuple) and x and isinstance(x[0], str):
@@ -279,10 +368,8 @@ class Lowering:
             return self.where(self.where(df, e[1]), e[2])
         how, inner = ("left_anti", e[1]) if e[0] == "not" else ("left_semi", e)
         if inner[0] in ("pattern", "exists"):
-            m = Match([inner[1]], None) if inner[0] == "pattern" else inner[1]
-            row = self.fresh("row")
-            base = df.withColumn(row, F.monotonically_increasing_id())
-            return base.join(self.match(base, m).select(row), row, how).drop(row)
+            found, keys = self.correlated(df, Match([inner[1]], None) if inner[0] == "pattern" else inner[1], None, unique=False)
+            return self.on_keys(df, found.select(*keys).distinct() if keys else found.select(F.lit(1).alias("_any")).limit(1), keys, how)
         names = df.columns
         df, e = self.prepare(df, e)
         return df.where(self.expr(e, df)).select(*(f"`{n}`" for n in names))
@@ -294,13 +381,25 @@ class Lowering:
         return frame.select(F.struct(*first, *(c for c in frame.columns if c not in first)).alias(var))
 
     def props(self, df: DataFrame, var: str, props: tuple | None) -> DataFrame:
-        for k, v in props[1] if props else []:
+        for k, v in self.entries(props) if props else []:
             df = self.where(df, ("=", ("prop", ("var", var), k), v))
         return df
 
+    def alone(self, props: tuple | None) -> bool:
+        """Whether a pattern's properties read no variable, so that they filter its scan."""
+        return props is None or not any(self.names_in(v) for _, v in self.entries(props))
+
+    def entries(self, e: tuple) -> list[tuple[str, tuple]]:
+        """Keys and values of a map, written out or a parameter."""
+        if e[0] == "map":
+            return e[1]
+        if e[0] == "param" and isinstance(self.params.get(e[1]), dict):
+            return [(k, ("lit", v)) for k, v in self.params[e[1]].items()]
+        raise CypherError("a map is needed here")
+
     def scan(self, node: Node, var: str, allowed: list[str] | None = None) -> DataFrame:
         if not node.labels and allowed is not None:
-            frame = union([self.graph.node_frame([a]) for a in allowed])
+            frame = self.graph.node_frame(some=allowed)
         else:
             frame = self.graph.node_frame(node.labels or None)
         return self.entity(frame, var)
@@ -325,8 +424,10 @@ class Lowering:
         if known:
             df = self.check(df, nodes[start], names[start])
         else:
-            first = self.props(self.scan(nodes[0], names[0]), names[0], nodes[0].props)
+            alone = self.alone(nodes[0].props)
+            first = self.props(self.scan(nodes[0], names[0]), names[0], nodes[0].props if alone else None)
             df = first if df is None else df.crossJoin(first)
+            df = df if alone else self.props(df, names[0], nodes[0].props)
         link_names = [r.var or self.fresh("r") for r in links]
         steps = [(i, i + 1, True) for i in range(start, len(links))] + [(i + 1, i, False) for i in range(start - 1, -1, -1)]
         for a, b, ahead in steps:
@@ -337,7 +438,8 @@ class Lowering:
             edges = [F.col(n) if r.span else F.array(F.col(n)) for n, r in zip(link_names, links)]
             slim = lambda c: F.struct(c.rel_type.alias("rel_type"), c.eid.alias("eid"), c.src.alias("src"), c.dst.alias("dst"))
             joined = F.concat(*(F.transform(x, slim) for x in edges)) if edges else F.array()
-            ids = F.array(*(F.col(n).id for n in names))
+            step = lambda at, r: F.array_append(at, F.when(r.src == F.element_at(at, -1), r.dst).otherwise(r.src))
+            ids = F.aggregate(joined, F.array(F.col(names[0]).id), step) if edges else F.array(F.col(names[0]).id)
             df = df.withColumn(path.var, F.struct(ids.alias("nodes"), joined.alias("rels")))
         return df
 
@@ -348,7 +450,10 @@ class Lowering:
 
     def expand(self, df: DataFrame, here: str, rel: Rel, rvar: str, node: Node, there: str, way: str, whole: bool) -> DataFrame:
         frame = self.graph.edge_frame(rel.types or None)
-        edges = self.props(self.entity(frame, rvar), rvar, rel.props)
+        own = self.alone(rel.props)
+        if not own and rel.span is not None:
+            raise CypherError("properties of a variable-length relationship read no variables")
+        edges = self.props(self.entity(frame, rvar), rvar, rel.props if own else None)
         out = edges.select(F.col(rvar), F.col(rvar).src.alias("_from"), F.col(rvar).dst.alias("_to"))
         back = edges.select(F.col(rvar), F.col(rvar).dst.alias("_from"), F.col(rvar).src.alias("_to"))
         moves = out if way == "out" else back if way == "in" else out.unionByName(back.where("_from <> _to"))
@@ -359,6 +464,7 @@ class Lowering:
             else:
                 df = df.join(moves, F.col(here).id == F.col("_from"))
             df = df.drop("_from")
+            df = df if own else self.props(df, rvar, rel.props)
         else:
             df = self.walk(df, here, rvar, moves, *rel.span)
         if there in df.columns:
@@ -366,8 +472,10 @@ class Lowering:
         allowed = self.graph.far_labels(rel.types or None, way == "out") if way != "both" else None
         if node.var is None and not node.props and (not node.labels or allowed == node.labels):
             return df.withColumn(there, F.struct(F.col("_to").alias("id"))).drop("_to")  # nothing of the node is read
-        far = self.props(self.scan(node, there, allowed), there, node.props)
-        return df.join(far, F.col("_to") == F.col(there).id).drop("_to")
+        own = self.alone(node.props)
+        far = self.props(self.scan(node, there, allowed), there, node.props if own else None)
+        df = df.join(far, F.col("_to") == F.col(there).id).drop("_to")
+        return df if own else self.props(df, there, node.props)
 
     def walk(self, df: DataFrame, here: str, rvar: str, moves: DataFrame, low: int, high: int | None) -> DataFrame:
         """Walks without a repeated relationship: a frontier loop; open ends stop at an empty frontier."""
@@ -393,11 +501,9 @@ class Lowering:
     # Clauses
 
     def optional(self, df: DataFrame, m: Match) -> DataFrame:
-        row = self.fresh("row")
-        base = df.withColumn(row, F.monotonically_increasing_id())
-        found = self.match(base, m)
-        new = [c for c in found.columns if c not in base.columns and not c.startswith("_")]
-        return base.join(found.select(row, *(f"`{c}`" for c in new)), row, "left").drop(row)
+        found, keys = self.correlated(df, m)
+        new = [c for c in found.columns if c not in df.columns and not c.startswith("_")]
+        return self.on_keys(df, found.select(*(f"`{k}`" for k in keys), *(f"`{c}`" for c in new)), keys, "left")
 
     def project(self, df: DataFrame, p: Project) -> DataFrame:
         items = list(p.items)
@@ -427,9 +533,9 @@ class Lowering:
         if order:
             df = df.orderBy(*(F.desc_nulls_first(f"`{n}`") if down else F.asc_nulls_last(f"`{n}`") for n, down in order))
         if p.skip is not None:
-            df = df.offset(self.number(p.skip))
+            df = df.offset(self.number(p.skip, df))
         if p.limit is not None:
-            df = df.limit(self.number(p.limit))
+            df = df.limit(self.number(p.limit, df))
         df = df.select(*(f"`{i.name}`" for i in items)) if extra else df
         return self.where(df, p.where)
 
@@ -439,8 +545,9 @@ class Lowering:
             return names[e[1]] if e and e[0] == "var" and e[1] in names else tuple(self.on_items(x, names) for x in e)
         return [self.on_items(x, names) for x in e] if isinstance(e, list) else e
 
-    def number(self, e: tuple) -> int:
-        v = e[1] if e[0] == "lit" else self.params.get(e[1]) if e[0] == "param" else None
+    def number(self, e: tuple, df: DataFrame) -> int:
+        one = df.sparkSession.range(1).select(F.lit(1).alias("_one"))
+        v = e[1] if e[0] == "lit" else self.params.get(e[1]) if e[0] == "param" else one.select(self.expr(e, one)).first()[0]
         if not isinstance(v, int) or v < 0:
             raise CypherError("SKIP and LIMIT take a whole number, 0 or more")
         return v
@@ -480,31 +587,45 @@ class Lowering:
             on = on & (F.col(n) == self.expr(e, base))
         return (base.join(rows, on) if names else base.crossJoin(rows)).drop(*names)
 
+    def unwind(self, df: DataFrame, c: Unwind) -> DataFrame:
+        df, e = self.prepare(df, c.expr)
+        if isinstance(self.kind_of(e, df, {}), T.NullType):
+            return df.withColumn(c.var, F.lit(None)).limit(0)
+        self.element(e, df, {})
+        return df.withColumn(c.var, F.explode(self.expr(e, df)))
+
+    def clause(self, df: DataFrame | None, c, spark) -> DataFrame:
+        one = spark.range(1).select(F.lit(1).alias("_one"))
+        if df is None and not isinstance(c, (Match, Call)):
+            df = one
+        if isinstance(c, Match):
+            return self.match(df, c) if not c.optional else self.optional(df if df is not None else one, c)
+        if isinstance(c, Unwind):
+            return self.unwind(df, c)
+        if isinstance(c, Call):
+            return self.procedure(df, c)
+        return self.project(df, c)
+
     def single(self, clauses: list, spark) -> DataFrame:
         df: DataFrame | None = None
         for c in clauses:
-            if df is None and not isinstance(c, (Match, Call)):
-                df = spark.range(1).select(F.lit(1).alias("_one"))
-            if isinstance(c, Match):
-                df = self.match(df, c) if not c.optional else self.optional(df if df is not None else spark.range(1).select(F.lit(1).alias("_one")), c)
-            elif isinstance(c, Unwind):
-                df, e = self.prepare(df, c.expr)
-                df = df.withColumn(c.var, F.explode(self.expr(e, df)))
-            elif isinstance(c, Call):
-                df = self.procedure(df, c)
-            else:
-                df = self.project(df, c)
+            df = self.clause(df, c, spark)
         if not isinstance(clauses[-1], Project) or not clauses[-1].final:
             raise CypherError("a query ends with RETURN")
         return df
 
 
+WRITES = (Create, Merge, Change, Delete)
+
+
 def execute(graph: PropertyGraph, query: str, params: dict | None = None, procedures: dict[str, Procedure] | None = None, max_hops: int = 30) -> DataFrame:
     """The query's result, as a lazy DataFrame (open-ended patterns run their frontier loop at once)."""
     spark = next(iter(graph.nodes.values())).sparkSession
     low = Lowering(graph, params or {}, procedures or {}, max_hops)
     out, every = None, True
     for clauses, all_ in Parser(query).query():
+        if any(isinstance(c, WRITES) for c in clauses):
+            raise CypherError("a query that writes goes through run()")
         part = low.single(clauses, spark)
         every = every and (out is None or all_)
         out = part if out is None else out.unionByName(part)

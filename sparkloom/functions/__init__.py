@@ -37,17 +37,18 @@ SCALARS: dict[str, Callable[..., Column]] = {
     "substring": _sub, "replace": lambda s, a, b: F.replace(s, a, b), "split": lambda s, d: F.split(s, F.concat(F.lit("\\Q"), d, F.lit("\\E"))),
     "reverse": F.reverse, "concat": F.concat, "string.concat": F.concat, "char_length": F.length, "character_length": F.length, "left": lambda s, n: F.left(s, n), "right": lambda s, n: F.right(s, n),
     "tostring": lambda x: x.cast("string"), "abs": F.abs, "ceil": lambda x: F.ceil(x).cast("double"), "floor": lambda x: F.floor(x).cast("double"), "sqrt": lambda x: F.sqrt(x), "exp": F.exp,
-    "log": F.log, "log10": F.log10, "power": F.pow, "pow": F.pow, "sign": lambda x: F.signum(x).cast("long"), "rand": lambda: F.rand(), "round": lambda x: F.round(x.cast("double")),
+    "log": F.log, "log10": F.log10, "power": F.pow, "pow": F.pow, "sign": lambda x: F.signum(x).cast("long"), "rand": lambda: F.rand(), "round": lambda x, places=None, *_: F.round(x.cast("double")) if places is None else F.round(x.cast("double"), places.cast("int")),
     "sin": F.sin, "cos": F.cos, "tan": F.tan, "asin": F.asin, "acos": F.acos, "atan": F.atan, "atan2": F.atan2, "pi": F.pi, "e": F.e, "cot": F.cot, "degrees": F.degrees, "radians": F.radians,
     "tointeger": lambda x: _finite(x).try_cast("long"), "tofloat": _finite, "toboolean": lambda x: F.when(F.lower(F.trim(x.cast("string"))) == "true", True).when(F.lower(F.trim(x.cast("string"))) == "false", False),
     "head": lambda x: F.get(x, F.lit(0)), "last": lambda x: F.try_element_at(x, F.lit(-1)), "tail": _tail, "range": _range, "coalesce": F.coalesce, "isempty": lambda x: F.size(x) == 0,
-    "date": lambda x: F.to_date(x), "datetime": lambda x: F.to_timestamp(x), "localdatetime": lambda x: F.to_timestamp_ntz(x), "timestamp": lambda: F.unix_millis(F.current_timestamp()),
-    "datetime.fromepoch": lambda s, ns=None: F.timestamp_seconds(s), "datetime.fromepochmillis": F.timestamp_millis, "distance": _distance,
+    "timestamp": lambda: F.unix_millis(F.current_timestamp()),
+    "datetime.fromepoch": lambda s, ns=None: F.timestamp_seconds(s) if ns is None else F.timestamp_micros(s.cast("long") * 10**6 + F.call_function("div", ns.cast("long"), F.lit(1000).cast("long"))), "datetime.fromepochmillis": F.timestamp_millis, "distance": _distance,
 }
 
 #: Accessors of temporal values.
 TEMPORAL: dict[str, Callable[[Column], Column]] = {
     "year": F.year, "quarter": F.quarter, "month": F.month, "week": F.weekofyear, "day": F.dayofmonth, "ordinalDay": F.dayofyear, "dayOfWeek": lambda d: F.weekday(d) + 1, "weekDay": lambda d: F.weekday(d) + 1,
+    "weekYear": lambda d: F.extract(F.lit("YEAROFWEEK"), d), "dayOfQuarter": lambda d: F.datediff(d, F.date_trunc("quarter", d)) + 1, "millisecond": lambda d: F.pmod(F.unix_millis(d.cast("timestamp")), F.lit(1000)), "microsecond": lambda d: F.pmod(F.unix_micros(d.cast("timestamp")), F.lit(10**6)),
     "hour": F.hour, "minute": F.minute, "second": F.second, "epochSeconds": F.unix_seconds, "epochMillis": F.unix_millis,
 }
 

@@ -24,13 +24,14 @@ class PropertyGraph:
     edges: dict[str, DataFrame]
     ends: dict[str, tuple[frozenset, frozenset]] = field(default_factory=dict)
 
-    def node_frame(self, labels: list[str] | None = None) -> DataFrame:
-        """Nodes with ``labels`` (all of them, as each node has one primary label), or every node; adds ``labels``."""
-        names = [n for n in self.nodes if labels is None or all(x == n for x in labels)]
+    def node_frame(self, labels: list[str] | None = None, some: list[str] | None = None) -> DataFrame:
+        """Nodes with all of ``labels``, or every node; with ``some``, those with one of these. A frame's name is its nodes' label set, joined by colons. Adds ``labels``."""
+        names = [n for n in self.nodes if set(labels or ()) <= set(n.split(":")) and (some is None or set(some) & set(n.split(":")))]
+        own = lambda n: F.array(*map(F.lit, filter(None, n.split(":")))).cast("array<string>")
         if not names:
-            some = next(iter(self.nodes))
-            return self.nodes[some].withColumn("labels", F.array(F.lit(some))).limit(0)
-        return union([self.nodes[n].withColumn("labels", F.array(F.lit(n))) for n in names])
+            first = next(iter(self.nodes))
+            return self.nodes[first].withColumn("labels", own(first)).limit(0)
+        return union([self.nodes[n].withColumn("labels", own(n)) for n in names])
 
     def edge_frame(self, types: list[str] | None = None) -> DataFrame:
         names = [t for t in self.edges if types is None or t in types]
