@@ -10,3 +10,4 @@ from sparkloom.algo.verbs import cluster as cluster
 from sparkloom.algo.verbs import paths as paths
 from sparkloom.algo.verbs import rank as rank
 from sparkloom.algo.verbs import similar as similar
+from sparkloom.algo.verbs import write_property as write_property

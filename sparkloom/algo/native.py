@@ -185,23 +185,32 @@ def _hits(n, e, directed, hub):
 
 
 def components(n, e, directed=False):
-    """id, community_id: numbered by the smallest node. Labels pass along edges and shortcut through their own labels."""
-    a = cut(both(e).distinct())
-    lab = cut(n.select("id", F.col("id").alias("l")))
+    """id, community_id: numbered by the smallest node. Large and small stars in turn: a logarithmic number of rounds."""
+    links = cut(simple(e).select(F.col("dst").alias("u"), F.col("src").alias("v")))  # u > v
+
+    def star(pairs, large):
+        both_ = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        least = both_.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        out = both_.join(least, "u")
+        moved = (out.where("v > u") if large else out).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        return (moved if large else moved.unionByName(least.select("u", F.col("m").alias("v")))).where("u <> v").distinct()
+
+    mark = None
     while True:
-        near = a.join(lab.select(F.col("id").alias("dst"), "l"), "dst").groupBy("src").agg(F.min("l").alias("m"))
-        new = lab.join(near, lab.id == near.src, "left").select("id", F.least("l", F.coalesce("m", "l")).alias("l"), F.col("l").alias("old"))
-        jump = new.join(new.select(F.col("id").alias("_i"), F.col("l").alias("_l")), F.col("l") == F.col("_i")).select("id", F.least("l", "_l").alias("l"), "old")
-        lab = cut(jump)
-        if not lab.where("l <> old").limit(1).count():
-            return numbered(lab.select("id", "l"))
-        lab = lab.select("id", "l")
+        links = cut(star(star(links, True), False))
+        now = links.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        if now == mark or not now.n:
+            return numbered(n.join(links, n.id == links.u, "left").select("id", F.coalesce("v", "id").alias("l")))
+        mark = now
 
 
 def numbered(lab: DataFrame) -> DataFrame:
-    first = lab.groupBy("l").agg(F.min("id").alias("f"))
-    ids = first.withColumn("community_id", (F.row_number().over(Window.orderBy("f")) - 1).cast("long")).select("l", "community_id")
-    return lab.join(ids, "l").select("id", "community_id")
+    """Communities numbered by their smallest node: places within ranges, after what the ranges before hold, so no task orders all of them."""
+    first = cut(lab.groupBy("l").agg(F.min("id").alias("f")).repartitionByRange("f").withColumn("_part", F.spark_partition_id()))
+    before = first.groupBy("_part").agg(F.count(F.lit(1)).alias("k"))
+    before = before.select("_part", (F.sum("k").over(Window.orderBy("_part")) - F.col("k")).alias("base"))  # a row a partition
+    ids = first.join(F.broadcast(before), "_part").withColumn("community_id", F.col("base") + F.row_number().over(Window.partitionBy("_part").orderBy("f")) - 1)
+    return lab.join(ids.select("l", "community_id"), "l").select("id", "community_id")
 
 
 def strongly_connected(n, e, directed=True):
@@ -255,21 +264,26 @@ def bfs(n, e, source: int, directed=True):
     return seen.where("hops > 0").select(F.col("id").alias("target"), "hops")
 
 
-def shortest(n, e, source: int, weight: str | None = None, directed=True, negative=False):
-    """target, cost. Relaxation of what changed, round by round; a node's costs keep falling on a negative cycle, an error."""
+def shortest(n, e, source: int | None = None, weight: str | None = None, directed=True, negative=False, target: int | None = None):
+    """source, target, cost, path (ids, joined by commas) from one node, or from every node; ties go to fewer hops, then to the smaller path. Relaxation of
+    what changed, round by round; costs that still fall after as many rounds as nodes are a negative cycle, an error."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     a = e.select("src", "dst", w.alias("w"))
     a = a if directed else a.unionByName(a.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
     a = cut(a.groupBy("src", "dst").agg(F.min("w").alias("w")))
     if not negative and a.where("w < 0 OR w IS NULL OR isnan(w)").limit(1).count():
         raise ValueError("weights have to be 0 or more")
-    best = front = cut(n.where(F.col("id") == source).select("id", F.lit(0.0).alias("cost")))
+    start = n if source is None else n.where(F.col("id") == source)
+    best = front = cut(start.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("cost"), F.array("id").alias("path")))
     for _ in range(n.count() + 1):
-        step = a.join(front.select(F.col("id").alias("src"), "cost"), "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("cost") + F.col("w")).alias("new"))
-        front = cut(step.join(best, "id", "left").where("cost IS NULL OR new < cost").select("id", F.col("new").alias("cost")))
+        step = front.select("source", F.col("id").alias("src"), F.col("cost").alias("c"), "path").join(a, "src")
+        step = step.groupBy("source", F.col("dst").alias("id")).agg(F.min(F.struct((F.col("c") + F.col("w")).alias("cost"), F.array_append("path", F.col("dst")).alias("path"))).alias("new"))
+        old = best.select("source", "id", F.col("cost").alias("held"))
+        front = cut(step.join(old, ["source", "id"], "left").where("held IS NULL OR new.cost < held").select("source", "id", "new.cost", "new.path"))
         if not front.limit(1).count():
-            return best.where(F.col("id") != source).select(F.col("id").alias("target"), "cost")
-        best = cut(best.unionByName(front).groupBy("id").agg(F.min("cost").alias("cost")))
+            out = best.where(F.col("id") != F.col("source")).select("source", F.col("id").alias("target"), "cost", F.concat_ws(",", F.col("path").cast("array<string>")).alias("path"))
+            return out if target is None else out.where(F.col("target") == target)
+        best = cut(best.join(front.select("source", "id"), ["source", "id"], "left_anti").unionByName(front))
     raise ValueError("a negative cycle is reachable")
 
 

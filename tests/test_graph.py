@@ -72,7 +72,7 @@ def test_clusters_and_paths(spark):
     assert rows(algo.cluster(g, "components")) == [(0, 0), (1, 0), (2, 0), (3, 1), (4, 1)]
     assert rows(algo.cluster(g, "strongly_connected", directed=True)) == [(0, 0), (1, 0), (2, 0), (3, 1), (4, 2)]
     assert rows(algo.paths(g, "bfs", 0)) == [(1, 1), (2, 2)]
-    assert rows(algo.paths(g, "dijkstra", 0)) == [(1, 1.0), (2, 2.0)]
+    assert rows(algo.paths(g, "dijkstra", 0)) == [(0, 1, 1.0, "0,1"), (0, 2, 2.0, "0,1,2")]
     assert len(rows(algo.paths(g, "transitive_closure"))) == 10
     assert algo.analyze(g, "triangle_count").first()[0] == 1 and algo.analyze(g, "is_dag").first()[0] is False
     assert algo.analyze(g, "transitivity").first()[0] == 1.0
