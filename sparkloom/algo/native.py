@@ -84,10 +84,16 @@ def preferential_attachment(n, e, directed):
 
 
 def _common(e, directed, weight):
-    """u and the sum of ``weight`` over the common neighbours w of u and every v not linked from u."""
+    """u and the sum of ``weight`` over the common neighbours w of u and every v not linked from u. Undirected, a neighbour w of u is common to all of its other
+    neighbours but those that close a triangle with u and w, so no pairs are made, only triangles."""
     a = cut(neighbours(e, directed))
-    w = a.groupBy(F.col("v").alias("w")).agg(F.count(F.lit(1)).alias("k")).withColumn("x", weight(F.col("k"))).select("w", "x")
-    pairs = a.select("u", F.col("v").alias("w")).join(a.select(F.col("u").alias("t"), F.col("v").alias("w")), "w").where("u <> t").join(w, "w").groupBy("u", "t").agg(F.sum("x").alias("x"))
+    w = a.groupBy(F.col("v").alias("w")).agg(F.count(F.lit(1)).alias("k")).withColumn("x", weight(F.col("k")))
+    if not directed:
+        sides = F.array(*(F.struct(F.col(p).alias("u"), F.col(q).alias("w")) for p in "abc" for q in "abc" if p != q))
+        closed = corners(e).select(F.explode(sides).alias("s")).groupBy("s.u", "s.w").agg(F.count(F.lit(1)).alias("t"))
+        near = a.select("u", F.col("v").alias("w")).join(w, "w").join(closed, ["u", "w"], "left")
+        return near.groupBy("u").agg(F.sum(F.col("x") * (F.col("k") - 1 - F.coalesce("t", F.lit(0)))).alias("score")), a
+    pairs = a.select("u", F.col("v").alias("w")).join(a.select(F.col("u").alias("t"), F.col("v").alias("w")), "w").where("u <> t").join(w.select("w", "x"), "w").groupBy("u", "t").agg(F.sum("x").alias("x"))
     return pairs.join(a.select("u", F.col("v").alias("t")), ["u", "t"], "left_anti").groupBy("u").agg(F.sum("x").alias("score")), a
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -13,6 +14,27 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+class Lazy(Mapping):
+    """Frames by name that are made when first asked for, so a query plans and opens only the tables that it reads."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        self.makers, self.made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.made:
+            self.made[name] = self.makers[name]()
+        return self.made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.makers)
+
+    def __len__(self) -> int:
+        return len(self.makers)
+
+    def __contains__(self, name) -> bool:
+        return name in self.makers
+
+
 @dataclass(frozen=True)
 class PropertyGraph:
     """``nodes``: label -> (id long, properties); ``edges``: type -> (eid, src, dst long, properties). Ids are unique across labels.
@@ -20,8 +42,8 @@ class PropertyGraph:
     A graph is never changed: writes return a new one.
     """
 
-    nodes: dict[str, DataFrame]
-    edges: dict[str, DataFrame]
+    nodes: Mapping[str, DataFrame]
+    edges: Mapping[str, DataFrame]
     ends: dict[str, tuple[frozenset, frozenset]] = field(default_factory=dict)
 
     def node_frame(self, labels: list[str] | None = None, some: list[str] | None = None) -> DataFrame:

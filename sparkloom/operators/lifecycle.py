@@ -195,6 +195,8 @@ def graph_diff(old: PropertyGraph, new: PropertyGraph) -> DataFrame:
     rows = []
     for key, kind, a, b in (("id", "node", old.nodes, new.nodes), ("eid", "relationship", old.edges, new.edges)):
         x, y = digests(a, key, kind, "a"), digests(b, key, kind, "b")
+        if x is None and y is None:
+            continue
         if x is None or y is None:
             x = x if x is not None else y.withColumnRenamed("b", "a").limit(0)
             y = y if y is not None else x.withColumnRenamed("a", "b").limit(0)

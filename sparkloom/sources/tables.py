@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.graph import PropertyGraph
+from sparkloom.graph import Lazy, PropertyGraph
 
 #: Label of each table: (code, table, key, properties). A node's id is key * 16 + code.
 LABELS = {
@@ -26,34 +26,49 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def co_buy(spark: SparkSession, sf_dir: str, least: int = 45) -> DataFrame:
+#: Lines of this quantity or more are bulk purchases, whose pairs are the relationship CO_BULK.
+BULK = 45
+
+
+def co_buy(lineitem: DataFrame, least: int = 0) -> DataFrame:
     """src < dst: parts bought in one order, both in lines of ``least`` or more; distinct."""
-    line = read(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= least).select("l_orderkey", "l_partkey").distinct()
+    line = (lineitem.where(F.col("l_quantity") >= least) if least else lineitem).select("l_orderkey", "l_partkey").distinct()
     pairs = line.select("l_orderkey", F.col("l_partkey").alias("a")).join(line.select("l_orderkey", F.col("l_partkey").alias("b")), "l_orderkey").where("a < b")
     return pairs.select(node_id("Part", "a").alias("src"), node_id("Part", "b").alias("dst")).distinct()
 
 
 def table_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    nodes = {}
-    for label, (_, table, key, props) in LABELS.items():
-        nodes[label] = read(spark, sf_dir, table).select(node_id(label, key).alias("id"), F.col(key).cast("long").alias("key"), *(F.col(c).alias(p) for p, c in props.items()))
-    edge = lambda table, a, ak, b, bk, *props: read(spark, sf_dir, table).select(F.monotonically_increasing_id().alias("eid"), node_id(a, ak).alias("src"), node_id(b, bk).alias("dst"), *props)
-    line = read(spark, sf_dir, "lineitem")
+    tables: dict[str, DataFrame] = {}
+
+    def table(name: str) -> DataFrame:
+        if name not in tables:
+            tables[name] = read(spark, sf_dir, name)
+        return tables[name]
+
+    def node(label: str) -> DataFrame:
+        _, name, key, props = LABELS[label]
+        return table(name).select(node_id(label, key).alias("id"), F.col(key).cast("long").alias("key"), *(F.col(c).alias(p) for p, c in props.items()))
+
+    def edge(name: str, a: str, ak: str, b: str, bk: str, *props) -> DataFrame:
+        return table(name).select(F.monotonically_increasing_id().alias("eid"), node_id(a, ak).alias("src"), node_id(b, bk).alias("dst"), *props)
+
+    hashed = lambda df: df.select(F.xxhash64("src", "dst").alias("eid"), "src", "dst")
     edges = {
-        "IN_REGION": edge("nation", "Nation", "n_nationkey", "Region", "n_regionkey"),
-        "IN_NATION": edge("customer", "Customer", "c_custkey", "Nation", "c_nationkey").unionByName(edge("supplier", "Supplier", "s_suppkey", "Nation", "s_nationkey").withColumn("eid", F.col("eid") + (1 << 60))),
-        "PLACED": edge("orders", "Customer", "o_custkey", "Order", "o_orderkey"),
-        "CONTAINS": edge("lineitem", "Order", "l_orderkey", "Part", "l_partkey", F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("extendedprice")),
-        "FULFILLED_BY": edge("lineitem", "Order", "l_orderkey", "Supplier", "l_suppkey"),
-        "SUPPLIES": line.select(node_id("Supplier", "l_suppkey").alias("src"), node_id("Part", "l_partkey").alias("dst")).distinct().withColumn("eid", F.xxhash64("src", "dst")).select("eid", "src", "dst"),
-        "CO_BUY": co_buy(spark, sf_dir).withColumn("eid", F.xxhash64("src", "dst")).select("eid", "src", "dst"),
+        "IN_REGION": lambda: edge("nation", "Nation", "n_nationkey", "Region", "n_regionkey"),
+        "IN_NATION": lambda: edge("customer", "Customer", "c_custkey", "Nation", "c_nationkey").unionByName(edge("supplier", "Supplier", "s_suppkey", "Nation", "s_nationkey").withColumn("eid", F.col("eid") + (1 << 60))),
+        "PLACED": lambda: edge("orders", "Customer", "o_custkey", "Order", "o_orderkey"),
+        "CONTAINS": lambda: edge("lineitem", "Order", "l_orderkey", "Part", "l_partkey", F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("extendedprice")),
+        "FULFILLED_BY": lambda: edge("lineitem", "Order", "l_orderkey", "Supplier", "l_suppkey"),
+        "SUPPLIES": lambda: hashed(table("lineitem").select(node_id("Supplier", "l_suppkey").alias("src"), node_id("Part", "l_partkey").alias("dst")).distinct()),
+        "CO_BUY": lambda: hashed(co_buy(table("lineitem"))),
+        "CO_BULK": lambda: hashed(co_buy(table("lineitem"), BULK)),
     }
     one = lambda *x: frozenset(x)
     ends = {
         "IN_REGION": (one("Nation"), one("Region")), "IN_NATION": (one("Customer", "Supplier"), one("Nation")), "PLACED": (one("Customer"), one("Order")),
-        "CONTAINS": (one("Order"), one("Part")), "FULFILLED_BY": (one("Order"), one("Supplier")), "SUPPLIES": (one("Supplier"), one("Part")), "CO_BUY": (one("Part"), one("Part")),
+        "CONTAINS": (one("Order"), one("Part")), "FULFILLED_BY": (one("Order"), one("Supplier")), "SUPPLIES": (one("Supplier"), one("Part")), "CO_BUY": (one("Part"), one("Part")), "CO_BULK": (one("Part"), one("Part")),
     }
-    return PropertyGraph(nodes, edges, ends)
+    return PropertyGraph(Lazy({label: (lambda label=label: node(label)) for label in LABELS}), Lazy(edges), ends)
 
 
 def save_graph(graph: PropertyGraph, folder: str) -> None:
