@@ -55,4 +55,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_mix_sources, op2_license_scan, op3_suffix_dedup, op4_url_filter, op5_warc, op6_decontaminate, op7_chat_rotation, op8_simhash_dedup, op9_quality, op10_exact_top_k)
 }
-SQL = {"op6_decontaminate": decontaminate.SQL, "op7_chat_rotation": chat.SQL, "op10_exact_top_k": topk.SQL}
+SQL = {"op5_warc": warc.SQL, "op6_decontaminate": decontaminate.SQL, "op7_chat_rotation": chat.SQL, "op10_exact_top_k": topk.SQL}

@@ -168,3 +168,14 @@ def warc_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     manifest = write_warc(pages, scratch.new_folder(spark, "warc"), min_bytes)
     found = read_warc(spark, manifest, with_payload=False)
     return found.select(page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of("refers_to").alias("refers_to"))
+
+
+SQL = """
+WITH p AS (SELECT page_id::BIGINT AS page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS n, html, array_to_string(list_transform(string_split(sha1(html), ''),
+  lambda c: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][strpos('0123456789abcdef', c)]), '') AS bits,
+  row_number() OVER (PARTITION BY html ORDER BY page_id) AS r, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, n AS payload_bytes, array_to_string(list_transform(range(0, 32),
+  lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform([1, 2, 3, 4, 5], lambda k: CASE WHEN substr(bits, 5 * i::INT + k::INT, 1) = '1' THEN 2 ** (5 - k) ELSE 0 END))::INT, 1)), '') AS payload_digest,
+  CASE WHEN r = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN r > 1 THEN first END AS refers_to FROM d
+"""

@@ -266,3 +266,56 @@ def test_quality(spark):
     got = {r.doc_id: r.keep for r in quality.score_documents(frame, labels).collect()}
     assert len(got) == 241 and all(got[i] == (i % 3 != 0) for i in range(120, 240))
     assert all(r.keep for r in quality.score_documents(frame, labels.limit(0)).collect())
+
+
+def test_licenses_against_brute_force(spark):
+    """Whole texts of every template, edited and inside other words; coverage as that of all alignments by increasing places in the densest stretch."""
+    rnd = random.Random(2)
+    rows, want = [], []
+    for i, (name, text) in enumerate(sorted(licenses.TEMPLATES.items())):
+        words = text.split()
+        kept = [w for w in words if rnd.random() > 0.05 or len(words) < 20]
+        rows.append((i, " ".join(["filler"] * rnd.randint(0, 90) + kept + ["more"] * 40)))
+        want.append(name)
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, name in enumerate(want):
+        assert name in (got[i].licenses or "").split("; ") and 0.8 <= got[i].coverage <= 1
+
+    def common(a, b):  # longest common subsequence
+        best = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b):
+                last, best[j + 1] = best[j + 1], last + 1 if x == y else max(best[j], best[j + 1])
+        return best[-1]
+
+    for _ in range(60):
+        a, b = ([rnd.choice("abcdefghijklmnopqrstuvw") for _ in range(rnd.randint(0, 15))] for _ in range(2))
+        pairs = licenses.patience(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and pairs == sorted(pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:])) and len(pairs) <= common(a, b)
+
+
+def test_mix_blocks_are_what_is_taken(spark):
+    """The words that the packed and joined blocks hold are those that ``taken`` counts."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(i % 23)), f"s{i % 2}") for i in range(60)], "doc_id long, text string, source string")
+    mix = mixing.Mix(docs, block_words=5, slots_per_shard=8)
+    held = {}
+    for r in mix.blocks(docs).collect():
+        for w in r.words.split():
+            held[int(w[1:].split("x")[0])] = held.get(int(w[1:].split("x")[0]), 0) + 1
+    assert {r.doc_id: r.taken for r in mix.taken().collect() if r.taken} == held
+
+
+def test_quality_held_out(spark):
+    """Held-out accuracy on made-up documents whose quality shows in the text and in part in the metadata."""
+    rnd = random.Random(4)
+    rows = []
+    for i in range(900):
+        bad = rnd.random() < 0.4
+        words = [rnd.choice(["spam", "win", "cash"] if bad and rnd.random() < 0.3 else ["river", "stone", "tree", "cloud"]) for _ in range(rnd.randint(5, 60))]
+        rows.append((i, " ".join(words), "en", "forum" if bad == (rnd.random() < 0.8) else "book", len(words), int(not bad)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, truth int")
+    got = {r.doc_id: r for r in quality.score_documents(frame, frame.where("doc_id < 300").selectExpr("doc_id", "truth AS quality", "0 AS toxic")).collect()}
+    test = [r for r in rows if r[0] >= 300]
+    right = lambda f: sum(f(got[r[0]]) == bool(r[5]) for r in test) / len(test)
+    assert right(lambda g: g.keep) > 0.93 and right(lambda g: g.meta_score >= 0.5) > 0.7
