@@ -5,11 +5,12 @@ into output shards. How many slots of each source a shard gets is a multinomial
 total, so that totals come out at the targets: the draw descends a binary tree over the shards, splitting the
 totals at each node with a hypergeometric draw seeded by the node, so any task can draw any shard alone and reruns
 agree. Slot j of a source is mapped to a block by a keyed Feistel permutation of the block indices, a new one for
-each pass over the source, and blocks are joined by index.
+each pass over the source, and blocks are joined by index. The mix is a written table of these blocks, each with the
+documents that its words are of; how much the mix takes of a document is counted from there.
 
 Defined results: null text counts as no words; null source is a source of its own, sorted last; documents without
-words are returned with ``taken`` 0; repeated rows are separate rows; an empty table gives an empty mix. Extra
-columns don't matter, as only ``doc_id``, ``text`` and ``source`` are read.
+words are returned with ``taken`` 0; repeated rows are separate rows; an empty table gives an empty mix; a very long text is
+cut into its blocks one by one, in one task. Extra columns don't matter, as only ``doc_id``, ``text`` and ``source`` are read.
 """
 
 from __future__ import annotations
@@ -24,7 +25,14 @@ from pyspark.sql import functions as F
 from sparkloom.llm import scratch
 
 WEIGHTS = (5.0, 2.0, 1.0)
-MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def word_edges(text: bytes) -> np.ndarray:
+    """Where the words of ``text`` begin and end, in turn."""
+    gap = np.ones(len(text) + 2, bool)
+    gap[1:-1] = SPACE[np.frombuffer(text, np.uint8)]
+    return np.flatnonzero(gap[1:] != gap[:-1])
 
 
 def word_count(text: Column) -> Column:
@@ -32,7 +40,7 @@ def word_count(text: Column) -> Column:
 
     @F.pandas_udf("long")
     def n_words(text: pd.Series) -> pd.Series:
-        return text.map(lambda b: 0 if b is None else len(bytes(b).split()))
+        return text.map(lambda b: 0 if b is None else len(word_edges(b)) // 2)
 
     return n_words(text.cast("binary"))
 
@@ -119,14 +127,15 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 class Mix:
-    """The plan of a mix: sizes, targets, and which block fills each slot."""
+    """A mix: sizes, targets, and which block fills each slot."""
 
     def __init__(self, docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, block_words: int = 64, slots_per_shard: int = 4096, seed: int = 17, max_sources: int = 100_000, buckets: int = 4096):
         """``max_sources`` bounds what the driver holds and what is broadcast; more sources are an error, never dropped."""
         self.spark, self.block_words, self.slots, self.seed, self.buckets = docs.sparkSession, block_words, slots_per_shard, seed, buckets
         scratch.small_batches(self.spark)
-        self.sizes = scratch.table(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-        found = self.sizes.groupBy("source").agg(F.sum("size").alias("n")).limit(max_sources + 1).collect()
+        self.id_type = docs.schema["doc_id"].dataType
+        self.words = scratch.table(docs.select("doc_id", "source", "text", F.xxhash64("text").alias("hash"), word_count(F.col("text")).alias("size")), "words")
+        found = self.words.groupBy("source").agg(F.sum("size").alias("n")).limit(max_sources + 1).collect()
         if len(found) > max_sources:
             raise ValueError(f"more than {max_sources} sources")
         self.sources = []
@@ -135,25 +144,44 @@ class Mix:
             slots = min(round(target * blocks / size), int(most * blocks)) if size else 0
             self.sources.append((source, i, size, float(target), blocks, slots))
         self.plan = self.spark.createDataFrame(self.sources, "source string, source_id int, source_size long, target double, n_blocks long, n_slots long")
+        self.placed = scratch.table(self.positions(self.words.drop("text")).drop("hash"), "placed")
 
     def positions(self, docs: DataFrame) -> DataFrame:
-        """``docs`` (doc_id, source, size and more) with source_id, source_size, target and the document's first word's
+        """``docs`` (doc_id, source, hash, size and more) with source_id, source_size, target and the document's first word's
         place ``at`` in its source: prefix sums within (source, bucket), over bucket totals of the source."""
         key = docs.join(F.broadcast(self.plan.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
         key = key.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(self.buckets)))
         sums = key.groupBy("source_id", "_bucket").agg(F.sum("size").alias("_n"))
         sums = sums.select("source_id", "_bucket", (F.sum("_n").over(Window.partitionBy("source_id").orderBy("_bucket")) - F.col("_n")).alias("_base"))
-        order = Window.partitionBy("source_id", "_bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        order = Window.partitionBy("source_id", "_bucket").orderBy("doc_id", "size", "hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         placed = key.withColumn("_sum", F.sum("size").over(order))
         return placed.join(sums, ["source_id", "_bucket"]).withColumn("at", F.col("_base") + F.col("_sum") - F.col("size")).drop("_bucket", "_base", "_sum", "n_blocks", "n_slots")
 
-    def segments(self, placed: DataFrame) -> DataFrame:
-        """A row for each document and block that it has words in: block, first word in the document, words."""
-        n = F.lit(self.block_words).cast("long")
-        end = F.col("at") + F.col("size")
-        rows = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"at div {self.block_words}"), F.expr(f"(at + size - 1) div {self.block_words}"))))
-        first = F.greatest(F.col("block") * n, F.col("at"))
-        return rows.withColumn("first", first - F.col("at")).withColumn("words", F.least((F.col("block") + 1) * n, end) - first)
+    def parts(self) -> DataFrame:
+        """A row for each document and block that it has words in: source_id, block, at, doc_id, words and their text, joined by one space."""
+        n = self.block_words
+
+        def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names = ["source_id", "block", "at", "doc_id", "words", "text"]
+            for batch in batches:
+                rows, held = [], 0
+                for source_id, at, doc_id, text in batch.itertuples(index=False, name=None):
+                    edges = word_edges(text)
+                    size, blocks = len(edges) // 2, range(at // n, (at + len(edges) // 2 - 1) // n + 1)
+                    first = np.maximum(np.arange(blocks.start, blocks.stop) * n - at, 0)
+                    end = np.append(first[1:], size)
+                    for block, words, a, b in zip(blocks, (end - first).tolist(), edges[2 * first].tolist(), edges[2 * end - 1].tolist(), strict=True):
+                        rows.append((source_id, block, at, doc_id, words, b" ".join(text[a:b].split())))
+                        held += b - a
+                        if held > 1 << 22:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows, held = [], 0
+                if rows:
+                    yield pd.DataFrame(rows, columns=names)
+
+        placed = self.positions(self.words.where("size > 0")).select("source_id", "at", F.col("doc_id").cast("string"), F.col("text").cast("binary"))
+        cuts = placed.mapInPandas(cut, "source_id int, block long, at long, doc_id string, words int, text binary")
+        return cuts.withColumn("doc_id", F.col("doc_id").cast(self.id_type)).withColumn("text", F.col("text").cast("string"))
 
     def slots_table(self) -> DataFrame:
         """A row for each slot of the mix: shard, slot, source_id, block."""
@@ -176,28 +204,30 @@ class Mix:
                     order = np.random.default_rng([seed, 1, shard]).permutation(int(here.sum()))
                     yield pd.DataFrame({"shard": shard, "slot": np.arange(len(order)), "source_id": np.concatenate(ids)[order], "block": np.concatenate(got)[order]})
 
-        parts = min(max(1, shards), 100_000)
+        parts = min(max(1, -(-shards // 16)), 100_000)
         return self.spark.range(0, shards, 1, parts).mapInPandas(draw, "shard long, slot long, source_id int, block long")
 
-    def taken(self) -> DataFrame:
-        """doc_id, source, size, source_size, target, taken: words of each document that the mix takes, repeats counted."""
+    def blocks(self) -> DataFrame:
+        """The mix itself, a written table: shard, slot, source_id, block, the block's words, joined by one space, and its parts: at, doc_id, words."""
+        parts = scratch.table(self.parts(), "parts")
+        scratch.drop(self.words)
+        each = F.array_sort(F.collect_list(F.struct("at", "doc_id", "words", "text")))
+        packed = parts.groupBy("source_id", "block").agg(each.alias("_of"))
+        packed = packed.select("source_id", "block", F.expr("array_join(transform(_of, x -> x.text), ' ') AS words"), F.expr("transform(_of, x -> struct(x.at, x.doc_id, x.words)) AS parts"))
         # The slots grow with the data, while Spark's estimate of them is that of the shard ids: never broadcast.
-        uses = self.slots_table().groupBy("source_id", "block").agg(F.count(F.lit(1)).alias("uses")).hint("merge")
-        placed = self.positions(self.sizes)
-        keys = ["doc_id", "source", "size", "source_size", "target"]
-        some = self.segments(placed).join(uses, ["source_id", "block"], "left")
-        some = some.groupBy("source_id", "at", *keys).agg(F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).alias("taken"))
-        none = self.sizes.where("size = 0").join(F.broadcast(self.plan.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source")))
-        return some.select(*keys, "taken").unionByName(none.select(*keys, F.lit(0).cast("long").alias("taken")))
-
-    def blocks(self, docs: DataFrame) -> DataFrame:
-        """The mix itself: shard, slot, source_id, block and the block's words, joined by one space."""
-        words = F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w != '')")
-        sized = docs.select("doc_id", "source", F.coalesce(words, F.array().cast("array<string>")).alias("_words")).withColumn("size", F.size("_words").cast("long"))
-        cut = self.segments(self.positions(sized)).select("source_id", "block", "at", F.expr("array_join(slice(_words, int(first) + 1, int(words)), ' ')").alias("_part"))
-        packed = cut.groupBy("source_id", "block").agg(F.expr("array_join(transform(array_sort(collect_list(struct(at, _part))), x -> x._part), ' ')").alias("words"))
-        return self.slots_table().hint("merge").join(packed, ["source_id", "block"])
+        mix = scratch.table(self.slots_table().hint("merge").join(packed, ["source_id", "block"]).select("shard", "slot", "source_id", "block", "words", "parts"), "mix")
+        scratch.drop(parts)
+        return mix
+
+    def taken(self, mix: DataFrame) -> DataFrame:
+        """doc_id, source, size, source_size, target, taken: words of each document in the blocks of ``mix``, repeats counted."""
+        got = mix.select("source_id", F.explode("parts").alias("p")).groupBy("source_id", F.col("p.at").alias("at")).agg(F.sum("p.words").alias("taken"))
+        rows = self.placed.join(got, ["source_id", "at"], "left")
+        taken = F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long")
+        return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
-    return Mix(docs, **options).taken()
+    """The mix of ``docs`` is made and written; returns what it takes of each document."""
+    mix = Mix(docs, **options)
+    return mix.taken(mix.blocks())

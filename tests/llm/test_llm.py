@@ -36,6 +36,9 @@ def test_mix(docs):
     for source in {r.source for r in got}:
         own = [r for r in got if r.source == source]
         assert abs(sum(r.taken for r in own) - own[0].target) <= 16
+    for text in (b"", b" ", b"a", b" a\x0bbc\r\n d ", "é\u00a0x y".encode()):
+        edges = mixing.word_edges(text).tolist()
+        assert [text[a:b] for a, b in zip(edges[::2], edges[1::2])] == text.split()
     assert [t for _, _, t in mixing.targets([("a", 100), (None, 100), ("b", 100)])] == pytest.approx([200.0, 500 / 3, 250 / 3])
     assert sorted(mixing.permute(np.arange(37), 37, 3).tolist()) == list(range(37))
 
@@ -196,6 +199,23 @@ def test_decontaminate(spark, docs):
     assert decontaminate.leaks(docs, items.limit(0)).count() == 0 and decontaminate.leaks(docs.limit(0), items).count() == 0
 
 
+def test_decontaminate_short_items(spark):
+    """Items of one to four words match wherever their words stand in a row, as brute force says; repeated places give the first."""
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 60))) for _ in range(60)] + [None, "", "a b", "A\tB\nc", " ".join(["h"] * 5000)]
+    items = [(i, " ".join(rnd.choice("abcdefgh") for _ in range(n))) for i, n in enumerate([1, 2, 3, 4, 4, 2])] + [(9, "zz"), (10, "a b c d e f g h a b c")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.start_word for r in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {}
+    for d, text in enumerate(texts):
+        w = (text or "").lower().split()
+        for i, item in items[:7]:
+            at = [p for p in range(len(w)) if w[p : p + len(item.split())] == item.split()]
+            if at:
+                want[d, i] = at[0]
+    assert {k: v for k, v in got.items() if k[1] < 10} == want
+
+
 def test_warc(spark):
     pages = spark.createDataFrame([(3, "http://a/", "<p>x</p>", 1), (1, "http://b/", "<p>x</p>", 1), (2, None, None, 1), (None, "http://c/", "é" * 5000, 1), (4, "u", "", 1)], "page_id long, url string, html string, extra int")
     got = {r.page_id: r for r in warc.warc_round_trip(pages).collect()}
@@ -299,11 +319,13 @@ def test_mix_blocks_are_what_is_taken(spark):
     """The words that the packed and joined blocks hold are those that ``taken`` counts."""
     docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(i % 23)), f"s{i % 2}") for i in range(60)], "doc_id long, text string, source string")
     mix = mixing.Mix(docs, block_words=5, slots_per_shard=8)
-    held = {}
-    for r in mix.blocks(docs).collect():
+    held, blocks = {}, mix.blocks()
+    for r in blocks.collect():
+        assert len(r.words.split()) == sum(p.words for p in r.parts) <= 5
+        assert [w[1:].split("x")[0] for w in r.words.split()] == [str(p.doc_id) for p in r.parts for _ in range(p.words)]
         for w in r.words.split():
             held[int(w[1:].split("x")[0])] = held.get(int(w[1:].split("x")[0]), 0) + 1
-    assert {r.doc_id: r.taken for r in mix.taken().collect() if r.taken} == held
+    assert {r.doc_id: r.taken for r in mix.taken(blocks).collect() if r.taken} == held
 
 
 def test_quality_held_out(spark):
