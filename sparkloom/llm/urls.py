@@ -1,11 +1,14 @@
 """URL filters: host and path rules, and gradient-boosted trees for urls without a rule.
 
 The trees are trained from labelled urls, those with a rule, on lexical features: lengths, depth, digit ratio, entropy, parameter
-counts and statistics of the host's suffix. Training takes a bounded sample, the ``max_train`` labelled urls of lowest
+counts and statistics of the host's suffix. These are counted over all urls: how many have the suffix, and the share of block
+among its labelled ones; a url that the trees are fitted on gets the share among the other folds' urls, so that it
+doesn't tell its own label. Fitting takes a bounded sample, the ``max_train`` labelled urls of lowest
 hash of url and page_id; scoring covers every url, in Arrow batches with the small model in the function.
 
 Defined results: null or a url without ``://`` has empty host and path, no rule, and a verdict by the method; without labels
-of both kinds the method's verdict is the kind there is, else allow. Repeated rows are judged alike; extra columns are ignored.
+of both kinds the method's verdict is the kind there is, else allow. Repeated rows are judged alike; a url is judged whole,
+however long; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from sparkloom.llm import scratch
 
 #: (verdict, host, path): fixed values of the production query.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+FOLDS = 5
+INPUTS = ("url", "host", "path", "share", "seen")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,16 +47,29 @@ def match_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]
     return (rule, verdict) if rule is not None else (F.lit(None).cast("string"), F.lit(None).cast("string"))
 
 
-def features(urls, hosts, paths, rate: dict[str, float], seen: dict[str, int]) -> np.ndarray:
+def suffix_counts(split: DataFrame) -> DataFrame:
+    """A row for each last label of hosts: suffix, seen (its urls), and by fold of the url its labelled and blocked ones."""
+    labelled = [f"count_if(ruled IS NOT NULL AND fold = {i})" for i in range(FOLDS)]
+    blocked = [f"count_if(ruled = 'block' AND fold = {i})" for i in range(FOLDS)]
+    return split.groupBy("suffix").agg(F.count(F.lit(1)).alias("seen"), *(F.expr(f"array({', '.join(x)})").alias(n) for n, x in (("labelled", labelled), ("blocked", blocked))))
+
+
+def block_share(prior: float, least: float = 10.0) -> Column:
+    """The share of block among a suffix's labelled urls, drawn to ``prior`` by the weight of ``least`` urls; for a labelled row, of other folds."""
+    other = "aggregate({0}, 0L, (a, x) -> a + x) - if(ruled IS NULL, 0L, element_at({0}, int(fold) + 1))"
+    return (F.expr(other.format("blocked")) + F.lit(least * prior)) / (F.expr(other.format("labelled")) + F.lit(least))
+
+
+def features(urls, hosts, paths, share, seen) -> np.ndarray:
     out = np.empty((len(urls), 16))
-    for i, (u, h, p) in enumerate(zip(urls, hosts, paths, strict=True)):
+    for i, (u, h, p, rate, n_seen) in enumerate(zip(urls, hosts, paths, share, seen, strict=True)):
         u = u or ""
         n, query = max(1, len(u)), u.partition("?")[2].partition("#")[0]
-        counts, suffix = Counter(u), h.rpartition(".")[2]
+        counts = Counter(u)
         entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
         digits, upper = sum(map(str.isdigit, u)), sum(map(str.isupper, u))
         out[i] = (len(u), len(h), len(p), p.count("/"), digits / n, entropy, query.count("=") + query.count("&"), len(query), h.count("."), u.count("-"), upper / n,
-                  u.startswith("https:"), "#" in u, u.count("%"), rate.get(suffix, rate[""]), math.log1p(seen.get(suffix, 0)))
+                  u.startswith("https:"), "#" in u, u.count("%"), rate, math.log1p(n_seen))
     return out
 
 
@@ -101,39 +119,43 @@ class Trees:
         return 1 / (1 + np.exp(-f))
 
 
-def train(rows: list[tuple[str, str, str, str]]):
-    """A scorer of (urls, hosts, paths), the probability of block, from (url, host, path, verdict)."""
-    y = np.array([r[3] == "block" for r in rows], float)
+def train(rows: list[tuple]):
+    """A scorer of (urls, hosts, paths, share, seen), the probability of block, from rows of these and the verdict."""
+    y = np.array([r[-1] == "block" for r in rows], float)
     if not len(y) or y.min() == y.max():
         always = float(y[0]) if len(y) else 0.0
-        return lambda urls, hosts, paths: np.full(len(urls), always)
-    seen, blocked = Counter(), Counter()
-    for (_, host, _, _), block in zip(rows, y, strict=True):
-        seen[host.rpartition(".")[2]] += 1
-        blocked[host.rpartition(".")[2]] += block
-    rate = {s: (blocked[s] + 10 * y.mean()) / (n + 10) for s, n in seen.items()} | {"": y.mean()}
-    urls, hosts, paths, _ = zip(*rows, strict=True)
-    model = Trees().fit(features(urls, hosts, paths, rate, seen), y)
-    return lambda urls, hosts, paths: model.score(features(urls, hosts, paths, rate, seen))
-
-
-def judge(pages: DataFrame, rules=RULES, max_train: int = 20_000) -> DataFrame:
-    """page_id, host, path, rule, verdict and the method's score of every page's url."""
+        return lambda urls, *rest: np.full(len(urls), always)
+    model = Trees().fit(features(*list(zip(*rows, strict=True))[:-1]), y)
+    return lambda *columns: model.score(features(*columns))
+
+
+def judge(pages: DataFrame, rules=RULES, max_train: int = 20_000, small: int = 100_000) -> DataFrame:
+    """page_id, host, path, rule, verdict and the method's score of every page's url.
+
+    Suffix counts of up to ``small`` rows, counted first, are broadcast; more are joined by a shuffle, whose hot suffixes
+    Spark splits at run time.
+    """
     scratch.small_batches(pages.sparkSession, 10_000)
     host, path = split_url(F.col("url"))
     split = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, ruled = match_rule(F.col("host"), F.col("path"), rules)
     split = split.withColumn("rule", rule).withColumn("ruled", ruled)
+    split = split.withColumn("suffix", F.substring_index("host", ".", -1)).withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS)))
+    counts = scratch.table(suffix_counts(split), "suffixes")
+    each = [F.sum(F.expr(f"aggregate({c}, 0L, (a, x) -> a + x)")).alias(c) for c in ("labelled", "blocked")]
+    total = counts.agg(F.count(F.lit(1)).alias("n"), *each).first()
+    split = split.join(F.broadcast(counts) if total.n <= small else counts.hint("merge"), "suffix")
+    split = split.withColumn("share", block_share((total.blocked or 0) / max(1, total.labelled or 0)))
     labelled = split.where("ruled IS NOT NULL")
     key = F.pmod(F.xxhash64("url", "page_id"), F.lit(1 << 30))
-    share = 1.5 * max_train / max(1, labelled.count())  # a threshold first, so that partitions don't each send a whole sample
-    labelled = labelled.where(key < int((1 << 30) * min(1.0, share)) + 1).orderBy(key, "url", "page_id").limit(max_train)
-    scorer = train([tuple(r) for r in labelled.select("url", "host", "path", "ruled").collect()])
+    cut = 1.5 * max_train / max(1, total.labelled or 0)  # a threshold first, so that partitions don't each send a whole sample
+    labelled = labelled.where(key < int((1 << 30) * min(1.0, cut)) + 1).orderBy(key, "url", "page_id").limit(max_train)
+    scorer = train([tuple(r) for r in labelled.select(*INPUTS, "ruled").collect()])
 
     @F.pandas_udf("double")
-    def score(url: pd.Series, host: pd.Series, path: pd.Series) -> pd.Series:
-        return pd.Series(scorer(url.tolist(), host.tolist(), path.tolist()))
+    def score(url: pd.Series, host: pd.Series, path: pd.Series, share: pd.Series, seen: pd.Series) -> pd.Series:
+        return pd.Series(scorer(*(c.tolist() for c in (url, host, path, share, seen))))
 
-    scored = split.withColumn("score", score("url", "host", "path"))
+    scored = split.withColumn("score", score(*INPUTS))
     verdict = F.coalesce("ruled", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")

@@ -244,6 +244,28 @@ def test_urls(spark):
     assert got[4][:3] == ("", "", None) == got[5][:3] and got[6][:3] == ("b.com", "", None) and got[7][2] is None
 
 
+def test_urls_held_out(spark):
+    """Urls of hosts without a rule are judged by what blocked ones look like; statistics of suffixes cover all urls, however small the sample, on both join paths."""
+    rnd = random.Random(3)
+    rows, truth = [], {}
+    for i in range(1500):
+        bad = rnd.random() < 0.5
+        host = f"h{rnd.randint(0, 30)}." + rnd.choice(["evil.com", "zeta.org"] if bad else ["good.com", "iota.org"])  # of one shape: only the rest of the url tells the kinds apart
+        tail = "".join(rnd.choice("0123456789abc") for _ in range(30)) + "?a=1&b=2" if rnd.random() < (0.95 if bad else 0.05) else rnd.choice(["about", "news/today", "help"])
+        rows.append((i, f"http://{host}/{tail}"))
+        truth[i] = "block" if bad else "allow"
+    frame = spark.createDataFrame([*rows, (None, None), (7, rows[7][1])], "page_id long, url string")
+    rules = (("block", "evil.com", "/"), ("allow", "good.com", "/"))
+    got = {small: sorted(map(tuple, urls.judge(frame, rules, small=small).collect()), key=str) for small in (0, 100_000)}
+    assert got[0] == got[100_000] and len(got[0]) == 1502
+    free = [r for r in urls.judge(frame, rules, max_train=200).collect() if r.rule is None and r.page_id is not None]
+    assert len(free) > 500 and sum(truth[r.page_id] == r.verdict for r in free) / len(free) > 0.9
+    host, path = urls.split_url(urls.F.col("url"))
+    split = frame.select("url", host.alias("host")).selectExpr("substring_index(host, '.', -1) AS suffix", "if(host LIKE '%evil.com', 'block', NULL) AS ruled", "pmod(xxhash64(url), 5) AS fold")
+    counts = {r.suffix: r for r in urls.suffix_counts(split).collect()}
+    assert counts["com"].seen == split.where("suffix = 'com'").count() and sum(counts["com"].blocked) == split.where("ruled = 'block'").count() and counts[""].seen == 1
+
+
 def test_trees_learn():
     rng = np.random.default_rng(0)
     x = rng.random((600, 4))
