@@ -363,3 +363,22 @@ def test_quality_held_out(spark):
     test = [r for r in rows if r[0] >= 300]
     right = lambda f: sum(f(got[r[0]]) == bool(r[5]) for r in test) / len(test)
     assert right(lambda g: g.keep) > 0.93 and right(lambda g: g.meta_score >= 0.5) > 0.7
+
+
+def test_exchange_counts_every_document(spark):
+    """Pseudo-labels of all rows that a view is sure of, counted by feature, equal plain counting; nulls and repeated rows count too."""
+    rnd = random.Random(6)
+    texts = [None, b"", b"one", *[" ".join(rnd.choice(["good", "fine", "bad", "poor", "word"]) for _ in range(rnd.randint(1, 30))).encode() for _ in range(300)]]
+    rows = [(quality.text_features(t), quality.meta_features("en", rnd.choice("ab"), rnd.randint(0, 99))) for t in texts + texts[:9]]
+    truth = quality.np.array([float(b"good" in (t or b"")) for t in texts[3:103]])
+    model = quality.fit_views(rows[3:103], truth, quality.no_counts())
+    by_text, by_meta, _ = model([r[0] for r in rows], [r[1] for r in rows])
+    got = quality.tally(model, (([r[0] for r in rows[a : a + 50]], [r[1] for r in rows[a : a + 50]]) for a in range(0, len(rows), 50)), 0.8)
+    want = quality.no_counts()
+    for i, (text, meta) in enumerate(rows):
+        for to, p, ids in (("meta", by_text[i], meta), ("text", by_meta[i], text)):
+            for at in [0] * (p >= 0.8) + [1] * (1 - p >= 0.8):
+                want[to][at, [*ids, -1]] += 1
+    assert want["meta"].sum() > 0 and all((got[n] == want[n]).all() for n in quality.NAMES)
+    more = quality.fit_views(rows[3:103], truth, want)
+    assert more.always is None and more([r[0] for r in rows], [r[1] for r in rows])[2].shape == (312,)
