@@ -377,7 +377,7 @@ def test_exchange_counts_every_document(spark):
     want = quality.no_counts()
     for i, (text, meta) in enumerate(rows):
         for to, p, ids in (("meta", by_text[i], meta), ("text", by_meta[i], text)):
-            for at in [0] * (p >= 0.8) + [1] * (1 - p >= 0.8):
+            for at in [k for k, sure in enumerate((p, 1 - p)) if sure >= 0.8]:
                 want[to][at, [*ids, -1]] += 1
     assert want["meta"].sum() > 0 and all((got[n] == want[n]).all() for n in quality.NAMES)
     more = quality.fit_views(rows[3:103], truth, want)
