@@ -557,11 +557,13 @@ class Lowering:
         keys = [(n, e) for n, e in rows if not has_aggregate(e)]
         known = {repr(e): ("col", f"`{n}`") for n, e in keys}
         found: list[tuple[str, Column]] = []
+        given: dict[str, Column] = {}
 
         def lift(e):
             if isinstance(e, tuple) and e and e[0] == "call" and e[1] in AGGREGATES:
                 name = self.fresh("agg")
-                found.append((name, self.expr(e, df)))
+                counted = self.counted_percentile(e, df, given)
+                found.append((name, self.expr(e, df) if counted is None else counted))
                 return ("col", name)
             if isinstance(e, tuple) and repr(e) in known:
                 return known[repr(e)]
@@ -570,9 +572,21 @@ class Lowering:
             return [lift(x) for x in e] if isinstance(e, list) else e
 
         lifted = [(n, lift(e) if has_aggregate(e) else ("col", f"`{n}`")) for n, e in rows]
-        out = df.groupBy(*(self.expr(e, df).alias(n) for n, e in keys)).agg(*(c.alias(n) for n, c in found))
+        out = df.withColumns(given).groupBy(*(self.expr(e, df).alias(n) for n, e in keys)).agg(*(c.alias(n) for n, c in found))
         return out.select(*(self.expr(e, out).alias(n) for n, e in lifted))
 
+    def counted_percentile(self, e: tuple, df: DataFrame, given: dict[str, Column]) -> Column | None:
+        """percentileDisc as Spark's own, which counts distinct values before the shuffle; None where its doubles or a fraction of the data don't fit."""
+        name, distinct, args = e[1:]
+        if name != "percentiledisc" or distinct or len(args) != 2 or args[1][0] != "lit" or type(args[1][1]) not in (int, float) or not 0 <= args[1][1] <= 1:
+            return None
+        kind = self.kind_of(args[0], df, {})
+        if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.FloatType, T.DoubleType)):
+            return None
+        column = self.fresh("value")
+        given[column] = self.expr(args[0], df)
+        return F.expr(f"percentile_disc({float(args[1][1])!r}D) WITHIN GROUP (ORDER BY `{column}`)").cast(kind)
+
     def procedure(self, df: DataFrame | None, c: Call) -> DataFrame:
         p = self.procedures.get(c.name)
         if p is None:

@@ -82,3 +82,13 @@ def test_delete(chain):
     assert out.counters == {"relationships_deleted": 1} and execute(out.graph, "MATCH (a)-[:K]->(b) RETURN a.name AS a").first().a == "n1"
     with pytest.raises(CypherError):
         execute(chain, "CREATE (n)")
+
+
+def test_percentile_disc(chain):
+    """Ints are counted by Spark's own function, longs and fractions that the data give are picked from the sorted values; both agree."""
+    each = "UNWIND range(1, 9) AS x WITH toFloat(x * x) AS f, x % 2 AS k, x"
+    for p, even, odd in ((0, 4, 1), (0.25, 4, 9), (0.5, 16, 25), (0.75, 36, 49), (1, 64, 81)):
+        got = rows(execute(chain, f"{each} RETURN k, percentileDisc(f, {p}) AS f, percentileDisc(x * x, {p}) + 1 AS l, count(*) AS n"))
+        assert got == [(0, even, even + 1, 4), (1, odd, odd + 1, 5)]
+    assert rows(execute(chain, "MATCH (a:P) RETURN percentileDisc(a.age, 0.5) AS a, percentileDisc(a.age, $p) AS b", {"p": 0.9})) == [(10, 20)]
+    assert rows(execute(chain, "MATCH (a:P) WHERE a.age > 99 RETURN percentileDisc(a.age, 0.5) AS a")) == [(None,)]
