@@ -11,8 +11,9 @@ Defined results: null or empty text has no words and fingerprint zero, linked li
 the smallest id of a component; repeated rows stay; very long texts are hashed whole; extra columns are ignored, or kept by ``drop_near_duplicates``,
 which keeps one of repeated rows. There, null texts and those of white space alone are copies of the empty text.
 
-The pipeline's ``drop_near_duplicates`` links by the Jaccard similarity of shingles, which fingerprints don't follow closely enough (an added
-passage moves many bits), so its keys are bands of least hashes of the shingles themselves.
+The pipeline's ``drop_near_duplicates`` takes its candidates from the same keys of SimHash fingerprints and verifies them by the Jaccard similarity
+of shingles. Fingerprints don't follow that closely enough to reach all links (an added passage moves many bits), so texts that are apart after
+this step, and only these, are looked up again under bands of least hashes of the shingles.
 """
 
 from __future__ import annotations
@@ -37,8 +38,10 @@ PAIRS = ((0, 1), (0, 2), (1, 2))
 #: threshold is missed some three times in 10^5.
 SAMPLE, SIGMAS = 1024, 4
 #: Keys of a set: ``BANDS``, each of its least hashes in ``ROWS`` orders. Two sets of Jaccard similarity J have none in common with a chance of
-#: (1 - J^ROWS)^BANDS: some 5 in 10^8 at 0.8, less above. The first ``EARLY`` bands give the pairs that are verified at first.
+#: (1 - J^ROWS)^BANDS: some 5 in 10^8 at 0.8, less above. The first ``EARLY`` bands give the pairs that are verified first of those under bands.
 BANDS, ROWS, EARLY = 32, 4, 4
+#: Bits in which fingerprints of candidates differ at most; sets of one size and Jaccard similarity 0.8 have a cosine of 0.89, so 9.7 bits on average.
+BITS = 10
 TURN = np.random.default_rng(64).integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
 WEIGHT = np.random.default_rng(65).integers(0, 1 << 64, ROWS, np.uint64) | np.uint64(1)
 
@@ -99,17 +102,22 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def bucket_links(key: np.ndarray, fp: np.ndarray, radius: int, buffer: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def bucket_links(key: np.ndarray, fp: np.ndarray, radius: int, buffer: int = 1 << 20, direct: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the fingerprints under one key that are ``radius`` bits or fewer apart; key is sorted. Row pairs are taken lag
-    by lag, so memory follows the rows, not the pairs."""
+    by lag, so memory follows the rows, not the pairs. ``direct``: only of pairs that are themselves no further apart."""
     value, place = np.unique(fp, return_inverse=True)
-    label, held, count = np.arange(len(value)), [], 0
+    label, held, count, found = np.arange(len(value)), [], 0, [(place[:0], place[:0])]
     at, lag = np.arange(len(key)), 0
 
     def settle():
         nonlocal label, held, count
         if held:
-            label = merge(label, np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+            a, b = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            if direct:
+                label, a, b = forest(label, a, b)
+                found.append((a, b))
+            else:
+                label = merge(label, a, b)
         held, count = [], 0
 
     while True:
@@ -126,6 +134,8 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, radius: int, buffer: int = 1 <
             if count > buffer or lag in (1, 2, 4, 8, 16, 32, 64, 128, 256):
                 settle()
     settle()
+    if direct:
+        return value[np.concatenate([f[0] for f in found])], value[np.concatenate([f[1] for f in found])]
     joined = np.flatnonzero(label != np.arange(len(value)))
     return value[label[joined]], value[joined]
 
@@ -259,12 +269,12 @@ def by_key(rows: DataFrame, step: int = 2000) -> DataFrame:
     return rows.mapInPandas(spread, f"{kinds}, key int").repartition(parts, "key").sortWithinPartitions("key", "fp")
 
 
-def links(fps: DataFrame, radius: int = 4, chunk: int = 1_000_000) -> DataFrame:
-    """u, v: a spanning forest, key by key, of linked fingerprints, from the distinct ``fps`` (fp long)."""
+def links(fps: DataFrame, radius: int = 4, chunk: int = 1_000_000, direct: bool = False) -> DataFrame:
+    """u, v: a spanning forest, key by key, of linked fingerprints, from the distinct ``fps`` (fp long); ``direct`` as in ``bucket_links``."""
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in whole_keys(batches, chunk):
-            u, v = bucket_links(rows.key.to_numpy(), rows.fp.to_numpy().view(np.uint64), radius)
+            u, v = bucket_links(rows.key.to_numpy(), rows.fp.to_numpy().view(np.uint64), radius, direct=direct)
             yield pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
     return by_key(fps.select("fp")).mapInPandas(join, "u long, v long")
@@ -341,19 +351,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     return marks.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def fingerprint_pairs(texts: DataFrame, radius: int = BITS) -> DataFrame:
+    """tu, tv: pairs of different ``texts`` (tid, fp) of equal fingerprints, each with the first one, and of fingerprints that share a key and are
+    ``radius`` bits or fewer apart, key by key a spanning forest of these."""
+    heads = scratch.table(texts.groupBy("fp").agg(F.min("tid").alias("head")), "heads")
+    equal = texts.join(heads, "fp").where("tid <> head").select(F.col("head").alias("tu"), F.col("tid").alias("tv"))
+    near = links(heads.select("fp"), radius, direct=True).distinct()
+    near = near.join(heads.select(F.col("fp").alias("u"), F.col("head").alias("tu")), "u").join(heads.select(F.col("fp").alias("v"), F.col("head").alias("tv")), "v")
+    pairs = scratch.table(equal.unionByName(near.select("tu", "tv")), "near")
+    scratch.drop(heads)
+    return pairs
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Keep one document, that of the smallest doc_id, of each group of near-duplicates.
 
-    Copies are linked where the Jaccard similarity of their distinct ``shingle``-word shingles is ``similarity`` or more. Candidates are texts that
-    share one of their ``BANDS`` keys. At first each text is verified with the first text under its ``EARLY`` keys. Where a key then still has texts
-    that are apart, all of these are compared under it by their shingles, or samples of them where there are over ``SAMPLE``, and verified
-    if these allow the similarity; pairs of texts that are joined already are never made.
+    Copies are linked where the Jaccard similarity of their distinct ``shingle``-word shingles is ``similarity`` or more. Candidates are texts whose
+    SimHash fingerprints, of these shingles, share a pair of codewords and differ in ``BITS`` bits or fewer; they are verified. For the links that these
+    miss, texts that are apart then but share one of their ``BANDS`` keys follow: each is verified with the first text under its ``EARLY`` keys. Where
+    a key then still has texts that are apart, all of these are compared under it by their shingles, or samples of them where there are
+    over ``SAMPLE``, and verified if these allow the similarity; pairs of texts that are joined already are never made.
     """
     scratch.small_batches(docs.sparkSession)
 
-    @F.pandas_udf("array<long>")
-    def marked(text: pd.Series) -> pd.Series:
-        return pd.Series([band_keys(shingle_hashes(words_of(t), shingle)) for t in text])
+    @F.pandas_udf("struct<fp: long, keys: array<long>>")
+    def marked(text: pd.Series) -> pd.DataFrame:
+        hashes = [np.unique(shingle_hashes(words_of(t), shingle)) for t in text]
+        return pd.DataFrame({"fp": np.array([simhash(h) for h in hashes], np.uint64).view(np.int64), "keys": [band_keys(h) for h in hashes]})
 
     @F.pandas_udf("array<long>")
     def shingles(text: pd.Series) -> pd.Series:
@@ -366,14 +390,14 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
 
     tid = F.md5(F.coalesce(F.btrim(docs["text"].cast("string"), F.lit(" \t\n\x0b\x0c\r")), F.lit("")).cast("binary"))
     text = docs["text"].cast("binary")
-    marks = scratch.table(docs.select("doc_id", tid.alias("tid"), marked(text).alias("keys")), "marks")
-    texts = scratch.table(marks.groupBy("tid").agg(F.min("doc_id").alias("least"), F.any_value("keys").alias("keys")), "texts")
+    marks = scratch.table(docs.select("doc_id", tid.alias("tid"), marked(text).alias("m")).select("doc_id", "tid", "m.*"), "marks")
+    texts = scratch.table(marks.groupBy("tid").agg(F.min("doc_id").alias("least"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys")), "texts")
     marks = marks.select("doc_id", "tid")
+    pairs = fingerprint_pairs(texts.where(F.size("keys") > 0).select("tid", "fp"))
     keyed = texts.select("tid", F.posexplode("keys").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("tid").alias("head")).where("n > 1").select("key", "head")
     member = scratch.table(keyed.join(shared, "key"), "keys")
-    pairs = member.where((F.col("band") < EARLY) & (F.col("tid") != F.col("head"))).select(F.col("head").alias("tu"), F.col("tid").alias("tv")).distinct()
-    wanted = member.select("tid").distinct().join(texts.select("tid", "least"), "tid")
+    wanted = member.select("tid").unionByName(pairs.select(F.explode(F.array("tu", "tv")).alias("tid"))).distinct().join(texts.select("tid", "least"), "tid")
     # One row of each wanted text, found by its doc_id too, so that the rows of a text with many copies don't meet in a task.
     sets = docs.select(F.col("doc_id").alias("least"), tid.alias("tid"), text.alias("text"))
     sets = sets.join(wanted, (sets.tid == wanted.tid) & sets.least.eqNullSafe(wanted.least), "left_semi")
@@ -392,8 +416,13 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
         """Rows under keys that have texts of different roots."""
         return rows.join(rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key"), "key", "left_semi")
 
-    linked = scratch.table(verified(pairs), "linked")
+    by_fp = scratch.table(verified(pairs), "linked")
+    roots = scratch.table(place(by_fp).select("tid", "root"), "classes")
+    early = member.where((F.col("band") < EARLY) & (F.col("tid") != F.col("head"))).select(F.col("head").alias("tu"), F.col("tid").alias("tv")).distinct()
+    early = early.join(roots.select(F.col("tid").alias("tu"), F.col("root").alias("ru")), "tu").join(roots.select(F.col("tid").alias("tv"), F.col("root").alias("rv")), "tv")
+    linked = scratch.table(by_fp.unionByName(verified(early.where("ru <> rv").select("tu", "tv"))), "linked")
     placed = scratch.table(place(linked), "placed")
+    scratch.drop(pairs, by_fp, roots)
     open_ = scratch.table(apart(member.select("tid", "key").join(placed.select("tid", "root"), "tid")), "apart")
     scratch.drop(member)
     some = sets.join(open_.select("tid").distinct(), "tid", "left_semi")

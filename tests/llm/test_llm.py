@@ -173,6 +173,35 @@ def test_near_duplicates_with_added_and_cut_passages(spark):
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(frame).collect()) == sorted(set(range(len(texts))) - {j for _, j in links})
 
 
+def test_near_duplicates_come_by_fingerprints(spark, monkeypatch):
+    """Where no two texts share a band, copies with an edit still fall by their SimHash fingerprints; texts far apart stay."""
+    rnd, texts = random.Random(13), []
+    for _ in range(30):
+        base = [f"w{rnd.randint(0, 10**6)}" for _ in range(400)]
+        other = list(base)
+        other[rnd.randrange(400)] = "edited"
+        texts += [" ".join(base), " ".join(other), " ".join(base[:200] + other[:100])]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "", None])], "doc_id long, text string")
+    monkeypatch.setattr(simhash, "band_keys", lambda h: h.sum(keepdims=True).view(np.int64) if len(h) else np.empty(0, np.int64))
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(frame).collect()}
+    assert kept == {i for i in range(90) if i % 3 != 1} | {90}
+
+
+def test_fingerprint_pairs(spark):
+    """All links of 4 bits are joined, by pairs that are 10 bits or fewer apart themselves; texts of one fingerprint meet the first of them."""
+    rng = np.random.default_rng(12)
+    fps = rng.integers(0, 2**63, 40, dtype=np.uint64).repeat(12)
+    for i in range(len(fps)):
+        for b in rng.choice(64, i % 5, replace=False):
+            fps[i] ^= np.uint64(1) << np.uint64(b)
+    frame = spark.createDataFrame([(f"{i:04}", fp) for i, fp in enumerate(fps.view(np.int64).tolist())], "tid string, fp long")
+    pairs = np.array([(int(r.tu), int(r.tv)) for r in simhash.fingerprint_pairs(frame).collect()])
+    assert (np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]) <= simhash.BITS).all()
+    label = simhash.merge(np.arange(len(fps)), pairs[:, 0], pairs[:, 1])
+    a, b = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None]) <= 4)
+    assert len(a) > len(fps) and (label[a] == label[b]).all()
+
+
 def test_band_keys():
     """A key is shared as often as the similarity says, so links at 0.8 are found but for some 5 in 10^8."""
     rng, got = np.random.default_rng(7), []
