@@ -12,6 +12,7 @@ WHOLE = {
     "bridges": K.bridges,
     "dag_longest_path": K.longest_path,
     "dag_longest_path_weighted": S.longest_weighted,
+    "edge_coloring": K.edge_coloring,
 }
 
 
