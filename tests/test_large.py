@@ -15,6 +15,7 @@ WHOLE = {
     "edge_coloring": K.edge_coloring,
     "has_euler_path": K.euler("path", True),
     "has_euler_circuit": K.euler("circuit", True),
+    "is_planar": S.is_planar,
 }
 
 
