@@ -82,3 +82,13 @@ def test_hits_by_ranges(dense, many_ranges, hub):
     g, edges, _ = dense
     got = rows(algo.rank(g, "hits_hub" if hub else "hits_authority"))
     assert np.allclose([s for _, s in got], led(edges, 50, hub), atol=1e-9)
+
+
+def test_filtered_node_similarity_by_ranges(dense, many_ranges):
+    g, edges, _ = dense
+    to = {v: {d for _, s, d, _ in edges if s == v} for v in range(50)}
+    want = []
+    for v in to:
+        found = sorted((-len(to[v] & to[u]) / len(to[v] | to[u]), u) for u in to[v] - {v} if to[v] & to[u])
+        want += [(v, u, -s) for s, u in found[:3]]
+    assert rows(algo.similar(g, "filtered_node_similarity", k=3)) == sorted(want)
