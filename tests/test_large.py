@@ -92,6 +92,23 @@ def test_hits_by_ranges(dense, many_ranges, hub):
     assert np.allclose([s for _, s in got], led(edges, 50, hub), atol=1e-9)
 
 
+def common(a, x):
+    k = a.sum(0)
+    w = (a * np.array([x(v) for v in k])) @ a
+    return (w * (a == 0) * (1 - np.eye(len(a)))).sum(1)
+
+
+NEAR = {
+    "adamic_adar": lambda a: common(a, lambda k: 1 / np.log(k) if k > 1 else 0.0),
+}
+
+
+@pytest.mark.parametrize("by", NEAR)
+def test_neighbours_by_ranges(dense, many_ranges, by):
+    g, _, a = dense
+    assert np.allclose([s for _, s in rows(algo.rank(g, by, directed=False))], NEAR[by](a))
+
+
 def test_filtered_node_similarity_by_ranges(dense, many_ranges):
     g, edges, _ = dense
     to = {v: {d for _, s, d, _ in edges if s == v} for v in range(50)}
