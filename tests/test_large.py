@@ -100,6 +100,7 @@ def common(a, x):
 
 NEAR = {
     "adamic_adar": lambda a: common(a, lambda k: 1 / np.log(k) if k > 1 else 0.0),
+    "triangles": lambda a: np.diag(a @ a @ a) / 2,
 }
 
 
@@ -130,13 +131,14 @@ def test_projection_vectors_are_rows(spark, monkeypatch):
     assert written and max(df.count() for df in written) <= 2 * len(edges)
 
 
-@pytest.mark.parametrize("query", ["(a:Part)-[:CO_BUY]->(b)-[:CO_BUY]->(c), (a)-[:CO_BUY]->(c)", "(a)<-[:CO_BUY]-(b:Part), (b)<-[:CO_BUY]-(c:Part)-[:CO_BUY]->(a)", "(a)-[:CO_BUY]->(b)-[:CO_BUY]->(c), (c)-[:CO_BUY]->(a)", "(a)-[:CO_BUY]->(b)-[:CO_BULK]->(c), (a)-[:CO_BUY]->(c)"])
+@pytest.mark.parametrize("query", ["(a:Part)-[:CO_BUY]->(b)-[:CO_BUY]->(c), (a)-[:CO_BUY]->(c)", "(a)<-[:CO_BUY]-(b:Part), (b)<-[:CO_BUY]-(c:Part)-[:CO_BUY]->(a)", "(a:Part)-[:CO_BUY]->(b)-[:CO_BUY]->(c), (c)-[:CO_BUY]->(a)", "(a:Part)-[:CO_BUY]->(b)-[:CO_BULK]->(c), (a)-[:CO_BUY]->(c)"])
 def test_closed_patterns(spark, tmp_path, query):
     """Lines of parts that the table lacks, without keys and twice: the joins' count, and no joins where all ends are parts of one type."""
     rnd = random.Random(5)
     lines = [(rnd.choice([None, *range(30)]), rnd.choice([None, *range(15)]), float(rnd.choice([1, 45]))) for _ in range(150)]
     spark.createDataFrame(lines + lines[:20], "l_orderkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.createDataFrame([(k, "p", "b", "t", 1, 1.0) for k in range(12)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(0, "r")], "r_regionkey int, r_name string").write.parquet(f"{tmp_path}/region.parquet")
     g = table_graph(spark, str(tmp_path))
     query = f"MATCH {query} RETURN count(*) AS n"
     joined = PropertyGraph({"Part": g.nodes["Part"]}, {k: g.edges[k] for k in ("CO_BUY", "CO_BULK")}, g.ends)
