@@ -98,8 +98,14 @@ def common(a, x):
     return (w * (a == 0) * (1 - np.eye(len(a)))).sum(1)
 
 
+def united(a):
+    k = a.sum(0)
+    return ((k[:, None] + k[None] - a @ a) * (a == 0) * (1 - np.eye(len(a)))).sum(1)
+
+
 NEAR = {
     "adamic_adar": lambda a: common(a, lambda k: 1 / np.log(k) if k > 1 else 0.0),
+    "total_neighbors": united,
     "triangles": lambda a: np.diag(a @ a @ a) / 2,
 }
 
