@@ -103,8 +103,14 @@ def united(a):
     return ((k[:, None] + k[None] - a @ a) * (a == 0) * (1 - np.eye(len(a)))).sum(1)
 
 
+def clustered(a):
+    k, t = a.sum(0), np.diag(a @ a @ a)
+    return np.where(k > 1, t / np.maximum(1, k * (k - 1)), 0.0)
+
+
 NEAR = {
     "adamic_adar": lambda a: common(a, lambda k: 1 / np.log(k) if k > 1 else 0.0),
+    "clustering_coefficient": clustered,
     "total_neighbors": united,
     "triangles": lambda a: np.diag(a @ a @ a) / 2,
 }
