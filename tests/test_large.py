@@ -112,6 +112,7 @@ NEAR = {
     "adamic_adar": lambda a: common(a, lambda k: 1 / np.log(k) if k > 1 else 0.0),
     "clustering_coefficient": clustered,
     "common_neighbors": lambda a: common(a, lambda k: 1.0),
+    "resource_allocation": lambda a: common(a, lambda k: 1 / k if k else 0.0),
     "total_neighbors": united,
     "triangles": lambda a: np.diag(a @ a @ a) / 2,
 }
