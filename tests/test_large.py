@@ -72,6 +72,17 @@ def test_codec():
     assert list(zip(*(x.tolist() for x in packed.ordered(*far, True)))) == sorted(set(zip(*(x.tolist() for x in far))))
 
 
+def peeled(a):
+    core, left, k = np.zeros(len(a), int), set(range(len(a))), 0
+    while left:
+        low = [v for v in left if sum(a[v, u] for u in left) <= k]
+        for v in low:
+            core[v] = k
+        left -= set(low)
+        k += not low
+    return core
+
+
 def led(edges, size, hub):
     m = np.zeros((size, size))
     for _, s, d, _ in edges:
@@ -85,6 +96,11 @@ def led(edges, size, hub):
     return h if hub else x
 
 
+def test_k_core_by_ranges(dense, many_ranges):
+    g, _, a = dense
+    assert rows(algo.rank(g, "k_core")) == list(enumerate(peeled(a).astype(float)))
+
+
 @pytest.mark.parametrize("hub", [True, False])
 def test_hits_by_ranges(dense, many_ranges, hub):
     g, edges, _ = dense
